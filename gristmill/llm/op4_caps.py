@@ -1,7 +1,7 @@
 """Embedding near-dedup by spherical-cap filters: a structured random product code gives filter directions; each vector
 is list-decoded to all directions that it exceeds a threshold on; vectors meet on filters and are verified.
 
-Filters: the dimensions are cut into blocks with a small random code each, a direction takes one word of each block.
+Filters: under a random rotation the dimensions are cut into blocks with a small random code each, a direction takes one word of each block.
 Decoding walks the blocks and drops a partial word once the best rest can't reach the threshold. The threshold is set
 so that a vector has FILTERS filters on average, and the code so that a filter holds about BUCKET_ROWS vectors of one
 label; both follow from the number of distinct vectors, and the chance that a pair at the limit shares none is below
@@ -32,7 +32,8 @@ from gristmill.llm._components import connected_components
 from gristmill.llm._forest import Forest
 
 COSINE = 0.93
-FILTERS = 24.0
+FILTERS = 48.0
+CODES = 3
 BUCKET_ROWS = 48
 CELL_ROWS = 2_048
 BLOCKS = 4
@@ -50,22 +51,30 @@ def cap_height(dims: int, share: float) -> float:
 
 
 class ProductCode:
-    """Filter directions for vectors of `dims` dimensions; `n` is how many distinct vectors a label has at most."""
+    """CODES independent sets of filter directions for vectors of `dims` dimensions, each under a rotation of its own; `n` is
+    how many distinct vectors a label has at most."""
 
-    def __init__(self, dims: int, n: int, filters: float = FILTERS, bucket_rows: int = BUCKET_ROWS, seed: int = SEED):
+    def __init__(self, dims: int, n: int, filters: float = FILTERS, bucket_rows: int = BUCKET_ROWS, codes: int = CODES, seed: int = SEED):
         m = max(1, min(BLOCKS, dims // 2))
-        words = max(8, int(np.ceil((n * filters / bucket_rows) ** (1 / m))))
-        rng = np.random.default_rng([seed, dims, words])
-        self.cuts = np.linspace(0, dims, m + 1).astype(int)
+        self.words = words = max(8, int(np.ceil((n * filters / codes / bucket_rows) ** (1 / m))))
+        self.cuts, self.height = np.linspace(0, dims, m + 1).astype(int), cap_height(dims, filters / codes / words**m)
         self.codes = []
-        for lo, hi in zip(self.cuts[:-1], self.cuts[1:], strict=True):
-            c = rng.standard_normal((words, hi - lo))
-            self.codes.append(c / np.linalg.norm(c, axis=1, keepdims=True) / np.sqrt(m))
-        self.words, self.height = words, cap_height(dims, filters / words**m)
+        for k in range(codes):
+            rng = np.random.default_rng([seed, dims, words, k])
+            turn = np.linalg.qr(rng.standard_normal((dims, dims)))[0]
+            blocks = [rng.standard_normal((words, hi - lo)) for lo, hi in zip(self.cuts[:-1], self.cuts[1:], strict=True)]
+            self.codes.append((turn, [c / np.linalg.norm(c, axis=1, keepdims=True) / np.sqrt(m) for c in blocks]))
 
     def decode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, filter) of all directions that a row of unit vectors exceeds the threshold on, in order."""
-        dots = [x[:, lo:hi] @ c.T for lo, hi, c in zip(self.cuts[:-1], self.cuts[1:], self.codes, strict=True)]
+        rows, filters = zip(*(self._decode(x @ turn, blocks) for turn, blocks in self.codes), strict=True)
+        size = self.words ** (len(self.cuts) - 1)
+        row, f = np.concatenate(rows), np.concatenate([f + k * size for k, f in enumerate(filters)])
+        order = np.argsort(row, kind="stable")
+        return row[order], f[order]
+
+    def _decode(self, x: np.ndarray, blocks: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        dots = [x[:, lo:hi] @ c.T for lo, hi, c in zip(self.cuts[:-1], self.cuts[1:], blocks, strict=True)]
         rest = [np.zeros(len(x))]
         for d in reversed(dots[1:]):
             rest.append(rest[-1] + d.max(axis=1))
