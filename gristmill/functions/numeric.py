@@ -11,6 +11,12 @@ def share(part: Column, whole: Column) -> Column:
     return F.try_divide(part.cast("double"), whole.cast("double"))
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """Scale, round half to even, scale back: in double arithmetic throughout, as array libraries round."""
+    scale = F.lit(float(10**digits))
+    return F.rint(x * scale) / scale
+
+
 def count_where(cond: Column) -> Column:
     return F.count_if(cond)
 

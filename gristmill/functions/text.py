@@ -56,7 +56,8 @@ def question_keywords(question: str) -> list[str]:
 
 
 def percent(x: Column) -> Column:
-    return F.concat(F.format_string("%.1f", x), F.lit("%"))
+    """One decimal, ties to even."""
+    return F.concat(F.format_string("%.1f", F.bround(x, 1)), F.lit("%"))
 
 
 def month_label(ts: Column) -> Column:

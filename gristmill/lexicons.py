@@ -1,37 +1,139 @@
-"""Word sets and maps of the feedback domain. Sets are kept in alphabetical order."""
+"""Word sets and maps of the feedback domain."""
 
 from __future__ import annotations
 
 
-def _words(text: str) -> tuple[str, ...]:
-    return tuple(sorted(text.split()))
+def _terms(text: str) -> tuple[str, ...]:
+    """Comma-separated terms of a text, in its order."""
+    return tuple(t.strip() for t in text.replace("\n", ",").split(",") if t.strip())
 
 
+def _pairs(text: str) -> dict[str, str | None]:
+    """Lines of `surface form = canonical form`; `none` stands for no form at all."""
+    rows = (line.split("=") for line in text.strip().splitlines())
+    return {k.strip(): None if v.strip() == "none" else v.strip() for k, v in rows}
+
+
+# ---- Fixed values: results depend on exactly these words, so they are stated as they are.
+
 #: Terms of the product that are aspects wherever they occur as a word.
-DOMAIN_TERMS = (*_words("account ads api app audio battery bug button call camera chat crash crashes feed filter loading login logout memory menu message notification notifications otp password payment performance pin premium profile refund screen search settings signup speed storage subscription support ui update updates ux video"), "customer service")
+DOMAIN_TERMS = _terms("""
+ui, ux, app, bug, ads, api, otp, pin
+login, signup, logout, password, account, profile
+notification, notifications, update, updates, crash, crashes
+battery, storage, memory, speed, performance, loading
+camera, audio, video, screen, button, menu, settings
+search, filter, feed, chat, message, call, payment
+subscription, premium, customer service, support, refund
+""")
+
 #: Chunks that name no aspect.
-EMPTY_ASPECTS = (*_words("all anyone anything bit english everyone everything experience feature features he her him his i issue issues it its lot me money more my nobody nothing one our people problem problems reason she somebody someone something stuff that their them these they thing things this those time two us way we whatever whoever you your"), "a lot")
+EMPTY_ASPECTS = _terms("""
+i, you, he, she, it, we, they, me, him, her, us, them
+my, your, his, its, our, their, this, that, these, those
+everything, something, anything, nothing, someone, anyone
+everyone, nobody, somebody, whoever, whatever
+time, way, lot, bit, all, one, two, more
+people, money, a lot, english, reason, stuff, thing, things
+issue, issues, problem, problems, experience, feature, features
+""")
+
 #: Surface form to canonical aspect, at extraction.
-CANONICAL_ASPECTS = {f"{d} app": "app" for d in _words("an my the this your")} | {f"{d} application": "app" for d in ("the", "this")}
-CANONICAL_ASPECTS |= {w + "s": w for w in _words("account ad bug feature message notification payment review subscription update video")} | {"crashes": "crash"}
-#: Surface form to canonical aspect when issues are ranked; None drops the mention.
-RANKING_ASPECTS: dict[str, str | None] = dict.fromkeys(("search results", "searches", "the search", "the search results"), "search")
-RANKING_ASPECTS |= dict.fromkeys(("new ui", "the new ui"), "ui") | dict.fromkeys(("latest update", "the latest update", "this update"), "update")
-RANKING_ASPECTS |= {"no driver": "driver availability", "the keyboard": "keyboard", "worst experience": "user experience"}
-RANKING_ASPECTS |= dict.fromkeys(("1 star", "the app", "the day", "the platform", "this app", "worst app", "years"))
+CANONICAL_ASPECTS = _pairs("""
+this app = app
+the app = app
+your app = app
+my app = app
+an app = app
+this application = app
+the application = app
+videos = video
+messages = message
+updates = update
+ads = ad
+crashes = crash
+bugs = bug
+reviews = review
+features = feature
+accounts = account
+payments = payment
+notifications = notification
+subscriptions = subscription
+""")
+
+#: Surface form to canonical aspect when issues are ranked; none drops the mention.
+RANKING_ASPECTS = _pairs("""
+the search results = search
+the search = search
+search results = search
+searches = search
+the new ui = ui
+new ui = ui
+this update = update
+the latest update = update
+latest update = update
+no driver = driver availability
+worst experience = user experience
+the keyboard = keyboard
+the app = none
+this app = none
+the platform = none
+the day = none
+worst app = none
+1 star = none
+years = none
+""")
+
 #: An aspect with one of these anywhere in it is no product feature.
-NOISE_SUBSTRINGS = ("a bit", "a lot", "the day", "the month", "the platform", "the way", "the week", "the year", "this app", "this point") + _words(
-    "anything biased everything lockup nothing rating rawat review reviews something star stars today tonight unfair yesterday yogesh"
-)
-BRANDS = _words("amazon chatgpt duolingo instagram netflix spotify teams twitter uber whatsapp youtube")
+NOISE_SUBSTRINGS = _terms("""
+yogesh, rawat, lockup, biased, unfair
+this point, the platform, everything, something
+nothing, anything, a lot, a bit, the way
+this app
+star, stars, rating, review, reviews
+the day, the week, the month, the year
+yesterday, today, tonight
+""")
+
+#: Aspects that are a product's own name.
+BRANDS = _terms("""
+amazon, netflix, spotify, instagram, whatsapp
+youtube, uber, twitter, duolingo, chatgpt, teams
+""")
+
 #: Brand words that carry no topic in text vectors.
-VECTOR_BRANDS = tuple(sorted({*BRANDS, "apple", "google", "meta", "microsoft"}))
-GENERIC_WORDS = _words("amazing awesome bad best cool excellent fine garbage good great hate hmm horrible lol love meh nice no ok okay perfect poor rubbish terrible trash worst wow yes")
-QUESTION_STOP_WORDS = _words("a about an and any app are at do does for has have how in is many more most of on or the to what which with")
-POSSESSIVES = _words("her his its my our their your")
+VECTOR_BRANDS = _terms("""
+spotify, whatsapp, instagram, netflix, amazon
+duolingo, uber, youtube, teams, twitter, chatgpt
+google, apple, microsoft, meta
+""")
+
+GENERIC_WORDS = _terms("""
+good, bad, ok, okay, great, nice, love, hate
+best, worst, fine, awesome, terrible, poor, excellent
+amazing, horrible, perfect, trash, rubbish, garbage
+wow, yes, no, meh, cool, lol, hmm
+""")
+
+QUESTION_STOP_WORDS = _terms("""
+the, a, an, is, are, has, have, what, which, app
+most, more, about, with, for, how, many, any, of
+in, on, at, to, and, or, do, does
+""")
+
+POSSESSIVES = _terms("my, your, his, her, its, our, their")
+
+# ---- Our own values.
+
 #: (token, valence, subjectivity): a small lexicon of our own for the built-in sentiment scorer.
 SENTIMENT = (
     ("amazing", 2.8, 0.9), ("awful", -2.8, 1.0), ("awesome", 3.1, 1.0), ("bad", -2.5, 0.7), ("best", 3.2, 0.3), ("broken", -2.0, 0.4), ("crash", -1.9, 0.2),
     ("easy", 1.9, 0.8), ("excellent", 2.7, 1.0), ("fast", 1.2, 0.6), ("good", 1.9, 0.6), ("great", 3.1, 0.8), ("hate", -2.7, 0.9), ("horrible", -2.5, 1.0),
     ("love", 3.2, 0.6), ("nice", 1.8, 1.0), ("perfect", 2.7, 1.0), ("poor", -2.1, 0.6), ("slow", -1.3, 0.4), ("terrible", -2.1, 1.0), ("useless", -1.8, 0.5), ("worst", -3.1, 1.0),
 )
+
+#: Common words of several languages that carry no topic in text vectors (our own short list).
+TOPIC_STOP_WORDS = _terms("""
+the, and, for, are, was, were, has, have, had, not, but, you, your, with, this, that, they, from, its, all, can, will, would, there, their, what, which, when, who, how
+der, die, das, und, ist, nicht, ein, eine, mit, von, les, des, une, est, pas, que, pour, los, las, una, por, con, del
+""")

@@ -59,10 +59,10 @@ def mentions(reviews: DataFrame, aspects: str = "aspects", forms: dict[str, str
     return rows.where("aspect is not null").drop(aspects) if aspects != "aspect" else rows
 
 
-def is_feature(aspect: Column) -> Column:
+def is_feature(aspect: Column, brands=lexicons.BRANDS, noise=lexicons.NOISE_SUBSTRINGS) -> Column:
     """No brand and no noise word anywhere in it."""
     low = F.lower(aspect)
-    return ~py_strip(low).isin(*lexicons.BRANDS) & ~contains_any(low, lexicons.NOISE_SUBSTRINGS)
+    return ~py_strip(low).isin(*brands) & ~contains_any(low, noise)
 
 
 def drop_entities(rows: DataFrame, entities: DataFrame) -> DataFrame:

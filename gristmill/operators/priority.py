@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gristmill.functions.numeric import min_max_or_half, share
+from gristmill.functions.numeric import min_max_or_half, rounded, share
 from gristmill.operators.aspects import is_feature
 
 WEIGHTS = {"sentiment_norm": 0.40, "volume_norm": 0.35, "recency_norm": 0.25}
@@ -27,9 +27,9 @@ def aspect_stats(mentions: DataFrame, as_of: str, days: int = RECENT_DAYS) -> Da
     )
     return stats.select(
         "app_name", "aspect", "mention_count", "negative_count", "positive_count",
-        F.bround(share(F.col("negative_count"), F.col("mention_count")), 3).alias("negative_rate"),
-        F.bround(share(F.col("rating_sum"), F.col("rated")), 2).alias("avg_rating"),
-        F.bround(F.coalesce(share(F.col("recent_negatives"), F.nullif("negative_count", F.lit(0).cast("bigint"))), F.lit(0.0)), 3).alias("recency_score_raw"),
+        rounded(share(F.col("negative_count"), F.col("mention_count")), 3).alias("negative_rate"),
+        rounded(share(F.col("rating_sum"), F.col("rated")), 2).alias("avg_rating"),
+        rounded(F.coalesce(share(F.col("recent_negatives"), F.nullif("negative_count", F.lit(0).cast("bigint"))), F.lit(0.0)), 3).alias("recency_score_raw"),
     )
 
 
@@ -41,7 +41,7 @@ def backlog(mentions: DataFrame, as_of: str, least: int = LEAST_MENTIONS, featur
     stats = stats.withColumn("mention_volume", F.col("mention_count").cast("double"))
     scaled = min_max_or_half(stats, {"negative_rate": "sentiment_norm", "mention_volume": "volume_norm", "recency_score_raw": "recency_norm"}).drop("mention_volume")
     score = sum((F.lit(w) * F.col(c) for c, w in WEIGHTS.items()), F.lit(0.0))
-    return ranked(scaled.withColumn("priority_score", F.bround(score, 4)))
+    return ranked(scaled.withColumn("priority_score", rounded(score, 4)))
 
 
 def ranked(scored: DataFrame) -> DataFrame:
