@@ -42,16 +42,16 @@ def weights(rows: DataFrame, key: str, terms: str, min_docs: int, vocabulary: in
     The vocabulary has the terms of `min_docs` rows or more, the most frequent `vocabulary` of them, numbered from 0 in
     that order; it has that bound and is broadcast. Rows without a term have no row here.
     """
-    counts = rows.select(key, F.explode(terms).alias("t")).groupBy(key, "t").agg(F.count(F.lit(1)).alias("tf"))
-    known = counts.groupBy("t").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("all")).where(F.col("df") >= min_docs)
-    known = known.orderBy(F.col("all").desc(), "t").limit(vocabulary)
-    known = known.withColumn("i", F.row_number().over(Window.orderBy(F.col("all").desc(), "t")) - 1)
-    n = rows.agg(F.count(F.lit(1)).alias("n"))
-    known = known.join(F.broadcast(n)).select("t", "i", (F.log((F.lit(1.0) + F.col("n")) / (F.lit(1.0) + F.col("df"))) + 1.0).alias("idf"))  # one row
-    weighed = counts.join(F.broadcast(known), "t").select(key, "i", ((F.lit(1.0) + F.log("tf")) * F.col("idf")).alias("w"))  # at most `vocabulary` rows
-    own = weighed.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("i", "w"))).alias("x"))  # a row's own terms
-    norm = F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, e: a + e["w"] * e["w"]))
-    return own.select(key, F.transform("x", lambda e: e["i"]).alias("indices"), F.transform("x", lambda e: e["w"] / norm).alias("values"))
+    counts = rows.select(key, F.explode(terms).alias("__t")).groupBy(key, "__t").agg(F.count(F.lit(1)).alias("__tf"))
+    known = counts.groupBy("__t").agg(F.count(F.lit(1)).alias("__df"), F.sum("__tf").alias("__all")).where(F.col("__df") >= min_docs)
+    known = known.orderBy(F.col("__all").desc(), "__t").limit(vocabulary)
+    known = known.withColumn("__i", F.row_number().over(Window.orderBy(F.col("__all").desc(), "__t")) - 1)
+    n = rows.agg(F.count(F.lit(1)).cast("double").alias("__n"))
+    known = known.join(F.broadcast(n)).select("__t", "__i", (F.log((F.lit(1.0) + F.col("__n")) / (F.lit(1.0) + F.col("__df"))) + 1.0).alias("__idf"))  # one row
+    weighed = counts.join(F.broadcast(known), "__t").select(key, "__i", ((F.lit(1.0) + F.log("__tf")) * F.col("__idf")).alias("__w"))  # at most `vocabulary` rows
+    own = weighed.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("__i", "__w"))).alias("__x"))  # a row's own terms
+    norm = F.sqrt(F.aggregate("__x", F.lit(0.0), lambda a, e: a + e["__w"] * e["__w"]))
+    return own.select(key, F.transform("__x", lambda e: e["__i"]).alias("indices"), F.transform("__x", lambda e: e["__w"] / norm).alias("values"))
 
 
 def text_vectors(df: DataFrame, key: str, text: str = "text", min_word: int = 3, min_char: int = 5, max_word: int = 15_000, max_char: int = 5_000) -> DataFrame:
