@@ -21,6 +21,7 @@ repeated results; other columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from dataclasses import dataclass
 from functools import lru_cache
@@ -49,30 +50,49 @@ def windows(text: bytes | None, words: int = WINDOW) -> list[bytes]:
     return [b" %b %b" % (b" ".join(w[i : i + words]), TAIL) for i in range(0, len(w), words)]
 
 
-def beginnings(text: bytes, shortest: int = 5, longest: int = 12) -> set[bytes]:
-    """Beginnings of the words with the space before them, up to whole short words with the space after them."""
-    out: set[bytes] = set()
-    for w in set(text.translate(_LETTERS).split()):
+def beginnings(text: bytes, most: int, shortest: int = 5, longest: int = 12) -> Counter:
+    """How often, up to `most`, words begin so: with the space before them, up to whole short words with the space after."""
+    out: Counter = Counter()
+    for w, n in Counter(text.translate(_LETTERS).split()).items():
         x = b" " + w + b" "
-        out.update(x[:k] for k in range(shortest, min(len(x), longest) + 1))
-    return out
-
-
-def toxic_segments(toxic: list[bytes], ordinary: list[bytes], share: float = 0.02, contrast: float = 20.0, times: int = 3) -> list[bytes]:
-    """Greedy cover of the toxic texts, each up to `times` times, by segments that are `contrast` times rarer in ordinary
-    ones; each covers at least `share` of the toxic texts anew. In ascending order of how many texts have them."""
+        for k in range(shortest, min(len(x), longest) + 1):
+            out[x[:k]] += n
+    return Counter({g: min(n, most) for g, n in out.items()})
+
+
+def unlike(texts: list[bytes], same: float = 0.5, cells: int = 4096) -> list[bytes]:
+    """Texts of which no two share more than `same` of their words (hashed to cells): of copies the first stays."""
+    has = np.zeros((len(texts), cells), np.float32)
+    for i, t in enumerate(texts):
+        has[i, [zlib.crc32(w) % cells for w in set(t.translate(_LETTERS).split())]] = 1
+    size, stay = has.sum(axis=1), np.zeros(len(texts), bool)
+    for i in range(len(texts)):
+        both = has[:i][stay[:i]] @ has[i]
+        stay[i] = not (both > same * (size[:i][stay[:i]] + size[i] - both)).any()
+    return [t for t, ok in zip(texts, stay, strict=True) if ok]
+
+
+def toxic_segments(toxic: list[bytes], ordinary: list[bytes], share: float = 0.02, contrast: float = 8.0, times: int = 3) -> list[bytes]:
+    """Greedy cover of the toxic texts, each up to `times` times, by segments that begin `contrast` times fewer words of
+    ordinary texts (a text counts up to `times` of each); each covers at least `share` of the toxic texts anew. In
+    ascending order of how many texts have them."""
     least = max(3.0, share * len(toxic))
-    count: Counter = Counter()
-    for t in toxic:
-        count.update(beginnings(t))
-    often = {g for g, c in count.items() if c >= least}
+    texts: Counter = Counter()
+    uses: Counter = Counter()
+    own = [beginnings(t, times) for t in toxic]
+    for b in own:
+        texts.update(b.keys())
+        uses.update(b)
+    often = {g for g, c in texts.items() if c >= least}
     other: Counter = Counter()
     for t in ordinary:
-        other.update(beginnings(t) & often)
-    often = {g for g in often if (count[g] + 0.5) / (len(toxic) + 1) >= contrast * (other[g] + 0.5) / (len(ordinary) + 1)}
+        b = beginnings(t, times)
+        other.update({g: b[g] for g in b.keys() & often})
+    n1, n0 = (1 + sum(len(t.split()) for t in part) for part in (toxic, ordinary))
+    often = {g for g in often if (uses[g] + 0.5) / n1 >= contrast * (other[g] + 0.5) / n0}
     found: dict[bytes, list[int]] = {g: [] for g in often}
-    for i, t in enumerate(toxic):
-        for g in beginnings(t) & often:
+    for i, b in enumerate(own):
+        for g in b.keys() & often:
             found[g].append(i)
     left = {g: np.array(v) for g, v in sorted(found.items())}
     covered, chosen = np.zeros(len(toxic), np.int64), []
@@ -151,7 +171,7 @@ def train(texts: list[bytes], y: np.ndarray, class_sizes: tuple[int, int] | None
     ordinary = [t for t, v in zip(texts, y, strict=True) if v == 0]
     if not toxic or not ordinary:
         return Model(b"", b"", (), rate)
-    segments = toxic_segments(toxic, ordinary)
+    segments = toxic_segments(unlike(toxic), ordinary)  # copies would lend their own words weight
     pool = [w for t in ordinary for w in windows(t)[:2000]]
     pick = np.random.default_rng(seed).permutation(len(pool))[:12_000]
     try:
