@@ -20,8 +20,9 @@ from gristmill.llm._common import materialize, scratch
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
 SEED = "mix-1"
-#: Documents that a range of one source's keys holds about.
-RANGE_ROWS = 20_000
+#: Documents of all sources together for each range of keys: a source with a share of the rows has that share of them
+#: in each of its ranges, so no task holds more than a few ranges whatever the source.
+RANGE_ROWS = 512
 #: Bound of ranges of a source, a power of 2.
 MAX_RANGES = 1 << 16
 
