@@ -38,7 +38,7 @@ SAMPLE_TOXIC = 1_500
 SAMPLE_ORDINARY = 4_500
 SAMPLE_CHARS = 20_000
 THRESHOLD = 0.3
-WINDOW = 4
+WINDOW = 5
 DICT_BYTES = 8_192
 #: zstandard starts no match in the last bytes of its input; these occur in no window.
 TAIL = b"0123456789"
@@ -141,10 +141,13 @@ def savings(ordinary: bytes, toxic: bytes, text: bytes | None) -> np.ndarray:
 
 
 def measures(saved: np.ndarray) -> tuple[float, ...]:
+    """The largest saving of a text and how many and what share of its windows save so many bytes."""
     n = max(len(saved), 1)
     most = float(saved.max(initial=0))
-    some, much = int((saved >= 2).sum()), int((saved >= 4).sum())
-    return (1.0, min(most, 12.0), np.log1p(some), np.log1p(much), 10 * np.sqrt(some / n), 10 * np.sqrt(much / n), np.log1p(n) / 4)
+    counts = {k: int((saved >= k).sum()) for k in (1, 2, 3, 4, 5)}
+    logs = [np.log1p(counts[k]) for k in (1, 2, 3, 4, 5)]
+    steps = [float(min(counts[3], 6)), float(counts[3] >= 2), float(counts[5] >= 2)]
+    return (1.0, min(most, 12.0), *logs, *steps, 10 * np.sqrt(counts[2] / n), 10 * np.sqrt(counts[4] / n), np.log1p(n) / 4)
 
 
 def _calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float = 1.0) -> np.ndarray:
@@ -171,7 +174,8 @@ def train(texts: list[bytes], y: np.ndarray, class_sizes: tuple[int, int] | None
     ordinary = [t for t, v in zip(texts, y, strict=True) if v == 0]
     if not toxic or not ordinary:
         return Model(b"", b"", (), rate)
-    segments = toxic_segments(unlike(toxic), ordinary)  # copies would lend their own words weight
+    # copies would lend their own words weight; where copies are all there is, they count
+    segments = toxic_segments(unlike(toxic), ordinary) or toxic_segments(toxic, ordinary)
     pool = [w for t in ordinary for w in windows(t)[:2000]]
     pick = np.random.default_rng(seed).permutation(len(pool))[:12_000]
     try:
