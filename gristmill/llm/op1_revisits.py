@@ -68,6 +68,7 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     found = as_of(revisits, full.select("url", "ts", F.col("record_id").alias("id")))
     rows = revisits.join(found, ["url", "ts"], "left")
     first = full.where("record_id is not null").groupBy(F.col("record_id").alias("found")).agg(F.max_by("h", F.struct("ts", "url")).alias("stored"))
+    first = materialize(first, "responses")  # a join of two plain scans, which Spark splits where one response has many revisits
     rows = rows.join(first, "found", "left")
     tag = lambda h: F.regexp_replace(h["etag"], r"^W/", "")
     own, stored = F.col("own"), F.col("stored")
