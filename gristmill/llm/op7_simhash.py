@@ -28,6 +28,7 @@ from pyspark.sql import types as T
 
 from gristmill.llm._common import materialize, scratch, small_batches, utf8
 from gristmill.llm._components import connected_components
+from gristmill.llm._forest import Forest
 from gristmill.llm._xxh64 import hash_slices
 
 SHINGLE = 3
@@ -145,33 +146,6 @@ class GrayIndex:
             yield q, self.order[node]
 
 
-class Forest:
-    """Union-find over the members of a leaf; gives only the links that join two trees."""
-
-    def __init__(self, n: int):
-        self.up = np.arange(n)
-
-    def link(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        made = [np.zeros((2, 0), np.int64)]
-        a, b = self.up[a], self.up[b]
-        while len(a):
-            lo, hi = np.minimum(a, b), np.maximum(a, b)
-            differ = lo != hi
-            lo, hi = lo[differ], hi[differ]
-            if not len(lo):
-                break
-            hi, first = np.unique(hi, return_index=True)  # each root hooks on one other
-            made.append(np.stack((hi, lo[first])))
-            self.up[hi] = lo[first]
-            while True:
-                up = self.up[self.up]
-                if (up == self.up).all():
-                    break
-                self.up = up
-            a, b = self.up[a], self.up[b]
-        return tuple(np.concatenate(made, axis=1))
-
-
 # ---- the distributed join
 
 
@@ -291,12 +265,15 @@ def simhash_components(docs: DataFrame, **kw) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, **kw) -> DataFrame:
-    """The rows of docs without near copies: of each component the document with the least doc_id, once. A null doc_id stays."""
+    """The rows of docs without near copies: of each component the document with the least doc_id, once. A null doc_id stays.
+
+    Of rows with the same doc_id the first in order of a hash of the whole row stays, the same on every run.
+    """
     c, n = scratch("id"), scratch("row")
     found = simhash_components(docs.where("doc_id is not null"), **kw)
     heads = found.where("doc_id = component_id").select(F.col("doc_id").alias(c)).distinct()
     kept = docs.where("doc_id is not null").join(heads, docs["doc_id"] == F.col(c), "left_semi")
-    once = kept.withColumn(n, F.row_number().over(Window.partitionBy("doc_id").orderBy(F.lit(0)))).where(F.col(n) == 1).drop(n)
+    once = kept.withColumn(n, F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64(*[c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind])))).where(F.col(n) == 1).drop(n)
     return once.unionByName(docs.where("doc_id is null"))
 
 
