@@ -115,9 +115,10 @@ def _lists(col) -> tuple[np.ndarray, np.ndarray]:
 
 
 def filters_of(embedding: Column | str, n: int, filters: float = FILTERS, bucket_rows: int = BUCKET_ROWS) -> Column:
-    """The filters of each (valid) vector, in order."""
+    """The filters of each (valid) vector, in order; 32-bit numbers while there are few enough directions."""
+    short = 4 * max(n * filters / bucket_rows, 64 * CODES) < 1 << 31
 
-    @F.arrow_udf(T.ArrayType(T.LongType()))
+    @F.arrow_udf(T.ArrayType(T.IntegerType() if short else T.LongType()))
     def go(embedding: pa.Array) -> pa.Array:
         off, values = _lists(embedding)
         sizes, out = np.diff(off), [None] * len(embedding)
@@ -130,7 +131,7 @@ def filters_of(embedding: Column | str, n: int, filters: float = FILTERS, bucket
                 row, f = code.decode(unit(values[off[part][:, None] + np.arange(dims)]))
                 for i, own in zip(part.tolist(), np.split(f, np.searchsorted(row, np.arange(1, len(part)))), strict=True):
                     out[i] = own
-        return pa.array(out, pa.list_(pa.int64()))
+        return pa.array(out, pa.list_(pa.int32() if short else pa.int64()))
 
     return go(embedding)
 
