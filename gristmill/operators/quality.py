@@ -48,17 +48,21 @@ def weak_labels(reviews: DataFrame) -> DataFrame:
 
 
 def with_features(reviews: DataFrame) -> DataFrame:
-    """The 16 features of a text."""
+    """The 16 features of a text.
+
+    What several features share is a column of its own first, so that it is computed once for each text.
+    """
     t = F.coalesce("text", F.lit(""))
-    words = tokens(t)
-    low = tokens(F.lower(t))
-    n, chars = F.size(words), F.length(t)
-    alpha, votes = count_class(t, r"\p{L}"), F.coalesce("thumbs_up", F.lit(0)).cast("int")
+    words, low = F.col("__words"), F.col("__low")
+    n, chars, alpha, unique = (F.col(c) for c in ("__n", "__chars", "__alpha", "__unique"))
+    parts = reviews.withColumns({"__words": tokens(t), "__low": F.array_distinct(tokens(F.lower(t))), "__chars": F.length(t), "__alpha": count_class(t, r"\p{L}")})
+    parts = parts.withColumns({"__n": F.size(words), "__unique": F.size(low)})
+    votes = F.coalesce("thumbs_up", F.lit(0)).cast("int")
     letters = F.aggregate(words, F.lit(0), lambda a, w: a + F.length(w))
-    one, unique = F.lit(1), F.size(F.array_distinct(low))
+    one = F.lit(1)
     seen = chars - count_class(t, r"\p{L}\p{N}") - count_class(t, r"\s\x1c-\x1f")
     ratio = lambda a, b: a.cast("double") / b.cast("double")
-    return reviews.withColumns(
+    return parts.withColumns(
         {
             "f_text_len": chars,
             "f_word_count": n,
@@ -77,7 +81,7 @@ def with_features(reviews: DataFrame) -> DataFrame:
             "f_has_punctuation": F.rlike(t, F.lit("[.!?,;]")).cast("int"),
             "f_sentence_count": sentence_count(t),
         }
-    )
+    ).drop("__words", "__low", "__chars", "__alpha", "__n", "__unique")
 
 
 def class_weights(labelled: DataFrame, label: str = "low_quality_label") -> DataFrame:
