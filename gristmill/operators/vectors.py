@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.mllib.linalg import Vectors as OldVectors
-from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gristmill import lexicons
 from gristmill.functions.text import default_label, tokens
 
+#: Directions beside those asked for, bound of passes over the rows, relative change of the squared values at which they
+#: are taken as settled, and share of the largest singular value under which a direction is rounding noise.
+SPARE = 20
+MAX_PASSES = 20
+SETTLED = 1e-9
+RANK_CUT = 1e-7
+
 
 def topic_words(text: Column, stop_words=lexicons.TOPIC_STOP_WORDS, brands=lexicons.VECTOR_BRANDS, shortest: int = 3) -> Column:
     """Lower-case words without punctuation, stop words, brands and short words."""
@@ -71,14 +78,48 @@ def text_vectors(df: DataFrame, key: str, text: str = "text", min_word: int = 3,
 def reduced(weighed: DataFrame, key: str, size: int, dims: int = 200) -> DataFrame:
     """(key, tfidf_embedding): rows of U times S of a truncated singular value decomposition.
 
-    The Gramian is decomposed by its products with the distributed rows; V (size by dims) has the vocabulary's bound.
+    Subspace iteration from a seeded random block until the values settle, MAX_PASSES passes at most (the reference's
+    randomized solver makes a fixed few). Each pass multiplies the distributed rows by a block of the used terms (`size` at
+    most, the vocabulary's bound) x (dims + SPARE); directions under RANK_CUT of the largest value are left out.
     """
-    matrix = RowMatrix(weighed.select("indices", "values").rdd.map(lambda r: OldVectors.sparse(size, r[0], r[1])))
-    v = matrix.computeSVD(max(1, min(dims, size, matrix.numRows())), computeU=False).V.toArray()
+    rows = weighed.select("indices", "values").rdd.map(lambda r: (np.array(r[0], dtype=np.int64), np.array(r[1], dtype=float))).persist(StorageLevel.DISK_ONLY)
+    sc = weighed.sparkSession.sparkContext
+    used = np.array(sorted(rows.flatMap(lambda r: r[0].tolist()).distinct().collect()), dtype=np.int64)  # at most `size`
+
+    def plus(a, b):
+        return b if a is None else a if b is None else a + b
+
+    def times(q):
+        shared = sc.broadcast(q)
+
+        def part(rows):
+            q, out = shared.value, None
+            for i, w in rows:
+                i = np.searchsorted(used, i)
+                out = np.zeros_like(q) if out is None else out
+                out[i] += np.outer(w, w @ q[i])
+            return [] if out is None else [out]
+
+        found = rows.mapPartitions(part).treeAggregate(None, plus, plus, depth=4)  # a handful of matrices reach the driver
+        shared.destroy()
+        return np.zeros_like(q) if found is None else found
+
+    q = np.linalg.qr(np.random.default_rng(42).normal(size=(len(used), min(len(used), dims + SPARE))))[0]
+    product, before = times(q), None
+    for _ in range(MAX_PASSES):
+        q = np.linalg.qr(product)[0]
+        product = times(q)
+        squares, turn = (x[..., ::-1] for x in np.linalg.eigh(q.T @ product))
+        if before is not None and (np.abs(squares - before)[:dims] <= SETTLED * squares[:1]).all():
+            break
+        before = squares
+    rows.unpersist()
+    kept = squares[:dims] > RANK_CUT**2 * squares[:1]
+    v = (q @ turn)[:, :dims][:, kept]
 
     @F.pandas_udf("array<double>")
     def project(indices: pd.Series, values: pd.Series) -> pd.Series:
-        return pd.Series([(w @ v[i.astype(int)]).tolist() for i, w in zip(indices, values, strict=True)])
+        return pd.Series([(w @ v[np.searchsorted(used, i.astype(int))]).tolist() for i, w in zip(indices, values, strict=True)])
 
     return weighed.select(key, project("indices", "values").alias("tfidf_embedding"))
 

@@ -712,8 +712,7 @@ def _(spark, d):
 
 @_query("v19_v20_v21_text_vectors")
 def _(spark, d):
-    weighed = vectors.text_vectors(views.table(spark, d, "benchmark"), "item_id", max_word=1_500, max_char=500)
-    return vectors.reduced(weighed, "item_id", 2_000, dims=50)
+    return vectors.reduced(vectors.text_vectors(views.table(spark, d, "benchmark"), "item_id"), "item_id", 20_000)
 
 
 _TERMS = r"""d AS (SELECT item_id, list_filter(list_transform(regexp_extract_all(lower(text), '\S+'), lambda w: regexp_replace(w, '^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$', '', 'g')), lambda w: length(w) >= 4) AS w FROM benchmark),
@@ -723,13 +722,23 @@ v AS (SELECT t, ln((CAST(1 AS DOUBLE) + (SELECT count(*) FROM d)) / (CAST(1 AS D
 w AS (SELECT item_id, i, (CAST(1 AS DOUBLE) + ln(tf)) * idf AS w FROM c JOIN v USING (t))"""
 
 
-@_query("v19_f4_term_weights", with_(_TERMS) + "SELECT item_id, CAST(i AS INTEGER) AS i, round(w / sqrt(sum(w * w) OVER (PARTITION BY item_id)), 9) AS w FROM w")
-def _(spark, d):
+def _term_weights(spark, d, vocabulary):
     rows = views.table(spark, d, "benchmark").select("item_id", vectors.topic_words(F.col("text"), stop_words=(), brands=(), shortest=4).alias("w"))
-    out = vectors.weights(rows, "item_id", "w", 3, 200)
+    out = vectors.weights(rows, "item_id", "w", 3, vocabulary)
     return out.select("item_id", F.explode(F.arrays_zip("indices", "values")).alias("x")).select("item_id", F.col("x.indices").alias("i"), F.round("x.values", 9).alias("w"))
 
 
+@_query("v19_f4_term_weights", with_(_TERMS) + "SELECT item_id, CAST(i AS INTEGER) AS i, round(w / sqrt(sum(w * w) OVER (PARTITION BY item_id)), 9) AS w FROM w")
+def _(spark, d):
+    return _term_weights(spark, d, 200)
+
+
+#: With the vocabulary of text_vectors.
+@_query("v19_f4_term_weights_15000", with_(_TERMS.replace("i < 200", "i < 15000")) + "SELECT item_id, CAST(i AS INTEGER) AS i, round(w / sqrt(sum(w * w) OVER (PARTITION BY item_id)), 9) AS w FROM w")
+def _(spark, d):
+    return _term_weights(spark, d, 15_000)
+
+
 @_query("v23_s16_coordinates")
 def _(spark, d):
     return vectors.coordinates(views.table(spark, d, "embeddings")).select("vec_id", "label", "x", "y")
