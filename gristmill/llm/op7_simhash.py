@@ -265,15 +265,20 @@ def simhash_components(docs: DataFrame, **kw) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, **kw) -> DataFrame:
-    """The rows of docs without near copies: of each component the document with the least doc_id, once. A null doc_id stays.
+    """The rows of docs without near copies: of each component of fingerprints the row with the least doc_id. A null doc_id stays.
 
-    Of rows with the same doc_id the first in order of a hash of the whole row stays, the same on every run.
+    Rows of one doc_id whose fingerprints aren't linked are of different components. Of rows of a component with the
+    same doc_id the first in order of a hash of the whole row stays, the same on every run.
     """
-    c, n = scratch("id"), scratch("row")
-    found = simhash_components(docs.where("doc_id is not null"), **kw)
-    heads = found.where("doc_id = component_id").select(F.col("doc_id").alias(c)).distinct()
-    kept = docs.where("doc_id is not null").join(heads, docs["doc_id"] == F.col(c), "left_semi")
-    once = kept.withColumn(n, F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64(*[c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind])))).where(F.col(n) == 1).drop(n)
+    c, h, n = scratch("id"), scratch("hash"), scratch("row")
+    own = docs.where("doc_id is not null")
+    row = F.xxhash64(*[k for k, kind in docs.dtypes if "map<" not in kind and "variant" not in kind])
+    small_batches(docs.sparkSession)
+    prints = materialize(own.select(F.struct(F.col("doc_id").alias(c), row.alias(h)).alias("first"), fingerprint("text").alias("fp")).groupBy("fp").agg(F.min("first").alias("first")), "firsts")
+    found = linked_fingerprints(prints.select(F.col("fp").alias("doc_id"), "fp"), **kw)  # components of fingerprints, not of ids
+    heads = prints.join(found, "fp").groupBy("component_id").agg(F.min("first").alias("first")).select("first.*")
+    kept = own.withColumn(n, row).join(heads, (F.col("doc_id") == F.col(c)) & (F.col(n) == F.col(h)), "left_semi")
+    once = kept.withColumn(n, F.row_number().over(Window.partitionBy("doc_id", n).orderBy(n))).where(F.col(n) == 1).drop(n)
     return once.unionByName(docs.where("doc_id is null"))
 
 

@@ -119,3 +119,9 @@ def test_long_chains(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1001), (1001, 1000), (5, 5)], "u long, v long")
     got = {r.node: r.component for r in connected_components(edges).collect()}
     assert got == {**dict.fromkeys(range(301), 0), 1000: 1000, 1001: 1000}
+
+
+def test_unlinked_texts_of_one_id_stay(spark):
+    a, b = "one plain sentence about rivers, boats and old stone bridges", "prices of seven copper kettles rose again while nobody was watching them"
+    df = spark.createDataFrame([(1, a), (1, b), (1, b), (2, a), (3, b)], "doc_id long, text string")
+    assert sorted(map(tuple, op.keep_one(df).collect())) == [(1, a), (1, b)]
