@@ -108,15 +108,27 @@ def mix_documents(docs: DataFrame, **kw) -> DataFrame:
     """The mix itself: each document once for every whole pass, and once more where the last pass takes it.
 
     The document in which a source's budget ends is cut at that word, so that every source has its exact budget;
-    n_chars, if there, follows the text. Columns are those of docs. Repeated rows of one doc_id are merged into one
-    plan row with the largest epochs and part, hence give as many copies each.
+    n_chars, if there, follows the text. Columns are those of docs. Rows meet the plan by (doc_id, source, size); where
+    the budget ends among several rows of that kind, the first of them by a hash of the row are taken.
     """
     plan = mix_sizes(materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix"), **kw)
-    e, p, z, d = (scratch(x) for x in ("epochs", "part", "size", "id"))
-    plan = plan.groupBy(F.col("doc_id").alias(d)).agg(F.max("epochs").alias(e), F.max("part").alias(p), F.max("size").alias(z))
-    plan = plan.where((F.col(e) > 0) & (F.col(z) > 0) | (F.col(p) > 0))
-    rows = docs.join(plan, docs["doc_id"].eqNullSafe(F.col(d)))
-    take = scratch("take")
+    e, f, p, z, d, s, n, own, take = (scratch(x) for x in ("epochs", "full", "part", "size", "id", "source", "rows", "own", "take"))
+    whole = F.col("part") == F.col("size")
+    plan = plan.where("size > 0").groupBy(F.col("doc_id").alias(d), F.col("source").alias(s), F.col("size").alias(z))
+    plan = plan.agg(F.max("epochs").alias(e), F.count_if(whole).alias(f), F.sum(F.when(whole, 0).otherwise(F.col("part"))).alias(p), F.count(F.lit(1)).alias(n))
+    plan = materialize(plan.where((F.col(e) > 0) | (F.col(f) > 0) | (F.col(p) > 0)), "mixed")
+    sized = docs.withColumn(own, word_count(F.col("text")))
+
+    def meet(plan):
+        return sized.join(plan, F.col("doc_id").eqNullSafe(F.col(d)) & F.col("source").eqNullSafe(F.col(s)) & (F.col(own) == F.col(z)))
+
+    # a kind of several rows in which a budget ends: one for each source at most, none while ids are unique
+    ends = (F.col(n) > 1) & (F.col(f) < F.col(n)) & ((F.col(f) > 0) | (F.col(p) > 0))
+    rows = meet(plan.where(~ends)).withColumn(p, F.when(F.col(f) == F.col(n), F.col(z)).otherwise(F.col(p)))
+    if not plan.where(ends).isEmpty():
+        row = F.xxhash64(*[k for k, kind in docs.dtypes if "map<" not in kind and "variant" not in kind])
+        cut = meet(plan.where(ends)).withColumn(own, F.row_number().over(Window.partitionBy(d, s, z).orderBy(row)))
+        rows = rows.unionByName(cut.withColumn(p, F.when(F.col(own) <= F.col(f), F.col(z)).when(F.col(own) == F.col(f) + 1, F.col(p)).otherwise(0)).withColumn(own, F.col(own).cast("long")))
     # full copies, then the last pass: size words if it takes the document whole, else part
     copies = F.concat(F.array_repeat(F.col(z), F.col(e).cast("int")), F.when(F.col(p) > 0, F.array(F.col(p))).otherwise(F.array().cast("array<bigint>")))
     rows = rows.withColumn(take, F.explode(copies))

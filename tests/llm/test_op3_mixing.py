@@ -101,3 +101,14 @@ def test_mixed_documents_have_the_words_of_the_plan(spark):
         assert texts[r.doc_id % 5].startswith(r.text) and r.n_chars == len(r.text)
     assert {k: r.taken for k, r in plan.items() if r.taken} == dict(words)
     assert op.mix_documents(df.limit(0)).count() == 0
+
+
+def test_repeated_and_null_ids_keep_the_budgets(spark):
+    rows = [(None, "w " * (i % 4 + 1) + str(i), "en", "abc"[i % 3], 0) for i in range(60)] + [(7, "x " * (i % 3 + 2) + str(i % 5), "en", "ab"[i % 2], 0) for i in range(40)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    taken, words = defaultdict(int), defaultdict(int)
+    for r in op.mix_sizes(df.select("doc_id", "source", op.word_count(F.col("text")).alias("size"))).collect():
+        taken[r.source] = round(r.target)
+    for r in op.mix_documents(df).collect():
+        words[r.source] += size(r.text)
+    assert dict(words) == dict(taken)
