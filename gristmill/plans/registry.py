@@ -646,6 +646,16 @@ def _(spark, d):
     return views.table(spark, d, "events").select("event_id", F.to_json(F.from_json("props", "k int")).alias("x"), F.col("props").alias("parsed"), F.get_json_object("props", "$.k").cast("int").alias("k")).drop("x")
 
 
+_ARRAY_OF_EVENT = """CASE event_id % 4 WHEN 0 THEN props WHEN 1 THEN '[]' WHEN 2 THEN concat('["', event_type, '"') ELSE concat('["', event_type, '", "', CAST(user_id AS {kind}), '"]') END"""
+
+
+#: An object, an empty array, a malformed array and an array of two: parsed, and dumped again.
+@_query("f13_f14_json_array", f"SELECT event_id, CASE WHEN ok THEN CAST(CAST(x AS JSON) AS VARCHAR[]) END AS parsed, CASE WHEN ok THEN CAST(to_json(CAST(CAST(x AS JSON) AS VARCHAR[])) AS VARCHAR) END AS dumped FROM (SELECT event_id, x, CASE WHEN json_valid(x) THEN json_type(x) = 'ARRAY' ELSE FALSE END AS ok FROM (SELECT event_id, {_ARRAY_OF_EVENT.format(kind='VARCHAR')} AS x FROM events))")
+def _(spark, d):
+    rows = views.table(spark, d, "events").select("event_id", text_fns.string_array(F.expr(_ARRAY_OF_EVENT.format(kind="STRING"))).alias("parsed"))
+    return rows.withColumn("dumped", F.to_json("parsed"))
+
+
 @_query("f15_fenced_json", "SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events")
 def _(spark, d):
     reply = F.concat(F.lit("```json\n"), F.col("props"), F.lit("\n```"))
