@@ -59,3 +59,9 @@ def summary(votes: DataFrame) -> DataFrame:
     """Label and source counts as (kind, value, n)."""
     count = lambda c, kind: votes.groupBy(F.col(c).alias("value")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(kind).alias("kind"), "value", "n")
     return count("final_label", "label").unionByName(count("label_source", "source"))
+
+
+def ambiguous_samples(votes: DataFrame, labelled: DataFrame, n: int = 3) -> DataFrame:
+    """The first `n` ambiguous rows in the order of conflicts."""
+    rows = votes.where(F.col("final_label") == AMBIGUOUS).join(labelled.select("review_id", "combined_label"), "review_id")
+    return in_order(rows).limit(n).select("review_id", "app_name", "rating", "vader_label", "llm_label", "text_preview")

@@ -173,6 +173,11 @@ def _(spark, d):
     return vote.summary(_votes(spark, d))
 
 
+@_query("a34_ambiguous_samples", with_(VOTES) + "SELECT review_id, app_name, rating, vader_label, llm_label, text_preview FROM votes WHERE final_label = 'ambiguous' ORDER BY CASE WHEN vader_label <> combined_label THEN 0 ELSE 1 END, abs(combined_score) DESC NULLS LAST, review_id LIMIT 3")
+def _(spark, d):
+    return vote.ambiguous_samples(_votes(spark, d), _labelled(spark, d))
+
+
 @_query("s10_vote_write_back", with_(VOTES) + "SELECT l.review_id, final_label, label_confidence FROM labelled l LEFT JOIN votes v ON l.review_id = v.review_id")
 def _(spark, d):
     rows = _labelled(spark, d)

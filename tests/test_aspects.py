@@ -80,6 +80,12 @@ def test_probes(spark):
     assert fill[1] == (None, False) and fill[2] == (80.0, False)
 
 
+def test_delay_pairs(spark):
+    rows = [(0, "success", 500, 349), (2, "success", 500, 500), (5, "error", 500, 0), (10, "success", None, 3)]
+    pairs = spark.createDataFrame(rows, "delay int, first_status string, first_returned int, second_returned int")
+    assert {r.delay: r.degraded for r in probes.delay_pairs(pairs).collect()} == {0: True, 2: False, 5: False, 10: False}
+
+
 def test_text_vectors(spark):
     df = spark.createDataFrame([(i, f"alpha beta gamma{'' if i % 2 else ' delta'}") for i in range(8)] + [(9, None)], "i int, text string")
     got = {r.i: r for r in vectors.text_vectors(df, "i", min_word=2, min_char=2, max_word=50, max_char=50).collect()}
