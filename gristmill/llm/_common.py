@@ -3,24 +3,30 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch sent to a Python worker; texts may have 100,000 characters and more.
-BATCH_ROWS = 500
+#: Bytes of text that a Python worker works on at once; Spark bounds the Arrow batches themselves.
+PART_BYTES = 8 << 20
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder that driver and executors share: spark.checkpoint.dir, or the context's checkpoint folder.
+
+    A temporary one only where both are unset and all tasks run in the driver's process (tests); an error on a cluster.
+    """
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not root:
-        root = spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="gristmill-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(root)
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="gristmill-")
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(root)
     return root
 
 
@@ -45,10 +51,20 @@ def materialize(df: DataFrame, tag: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound what one Arrow batch holds, in rows and (where Spark knows the setting) in bytes."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+def parts(batch, texts, most: int = PART_BYTES):
+    """Slices of a batch, without copies, with about `most` bytes of its column `texts`, or one longer text."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    if len(texts) == 0:
+        return
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    lo = 0
+    while lo < len(texts):
+        before = int(size[lo - 1]) if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(size, before + most, side="right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
 
 
 def fold(doc_id: Column | str) -> Column:

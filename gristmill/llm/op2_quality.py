@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gristmill.llm._common import fold, labelled_sample, scratch, small_batches, utf8
+from gristmill.llm._common import fold, labelled_sample, scratch, utf8
 from gristmill.llm._textstats import FIELDS, stats, stats_matrix
 
 SAMPLE_ROWS = 12_000
@@ -101,7 +101,6 @@ def features(m: np.ndarray) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame, cap: int = SAMPLE_ROWS, **kw) -> Trees | None:
     """Trees from a bounded sample of the labelled documents; None without any."""
-    small_batches(docs.sparkSession)
     sample = F.broadcast(labelled_sample(labels, "quality", cap))  # at most cap rows
     found = docs.select("doc_id", "text").join(sample, "doc_id").select("y", "doc_id", stats("text").alias("s")).select("y", "doc_id", "s.*").orderBy("doc_id", "n_bytes").limit(2 * cap).toPandas()
     if not len(found):

@@ -7,15 +7,20 @@ level has its bit; the slot is the rank of the bit), and holds for each slot a 3
 document's place, and the start of each document. A key that is not in the shard is told by its fingerprint, but for
 one in 2^32.
 
+Above the shards the manifest is a directory: first and last key of each. A lookup over all shards takes the shard from
+the directory and asks one index.
+
 Scale: one shuffle, a range sort by doc_id; each task streams its range and starts a new shard after SHARD_BYTES, so
 memory has a bound. Shards are written to a temporary name and renamed, and have the same bytes whenever a task runs
-again. What comes back is one manifest row for each shard, from which prefix sums give each shard's first id.
+again. What comes back is one manifest row for each shard, from which prefix sums give each shard's first id. The
+tokenizers library encodes each distinct piece of text that a worker meets (_byte_level.py).
 
 Files go through pyarrow's file systems, in the shared folder that the cluster names.
 
 Defined results: null counts as empty, an empty document has the end id alone; texts are whole, special tokens' strings
 in them are ordinary text; rows with a null doc_id come first, have no key and are read by scans only; repeated doc_ids
-are all written, side by side, and a key finds the first; an empty table gives no files and no rows.
+are all written, side by side, and a key finds the first; an empty table gives no files and no rows; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -29,12 +34,13 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gristmill.llm._common import materialize, quiet_threads, shared_path, small_batches
+from gristmill.llm._byte_level import Encoder
+from gristmill.llm._common import materialize, parts, shared_path
 
 END_ID = 2
 SHARD_BYTES = 32 << 20
-#: Spans between spaces that a worker keeps the ids of.
-KEPT_SPANS = 500_000
+#: Bound of the tasks that read shards back.
+MAX_READERS = 8_192
 MAGIC = b"GMPH0001"
 NULL_KEY = -(1 << 63)
 
@@ -118,11 +124,11 @@ class Shard:
         magic, self.width, self.n, n_keys, n_levels, n_words = struct.unpack_from("<8s5q", raw)
         if magic != MAGIC:
             raise ValueError(f"{base}.mph is not an index")
-        at, parts = struct.calcsize("<8s5q"), []
+        at, fields = struct.calcsize("<8s5q"), []
         for kind, n in (("<i8", n_levels), ("<u8", n_words), ("<u4", n_keys), ("<u4", n_keys), ("<i8", self.n + 1)):
-            parts.append(np.frombuffer(raw, kind, n, at))
+            fields.append(np.frombuffer(raw, kind, n, at))
             at += n * int(kind[2])
-        self.hash, (self.prints, self.places, self.starts) = PerfectHash(parts[0], parts[1].astype(np.uint64)), parts[2:]
+        self.hash, (self.prints, self.places, self.starts) = PerfectHash(fields[0], fields[1].astype(np.uint64)), fields[2:]
         self.kind = "<u2" if self.width == 2 else "<u4"
 
     def _read(self, ending: str) -> bytes:
@@ -157,56 +163,6 @@ def filesystem(path: str):
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
-# ---- encoding
-
-
-class SpanEncoder:
-    """The tokenizers library over the spans between single spaces, where this kind of tokenizer always begins a match.
-
-    A span that a worker has seen is not encoded again; the table of them has a bound and is emptied when full.
-    """
-
-    def __init__(self, path: str, kept: int = KEPT_SPANS):
-        quiet_threads()
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        self.kept, self.spans = kept, {}
-
-    @staticmethod
-    @lru_cache(maxsize=2)
-    def load(path: str) -> SpanEncoder:
-        return SpanEncoder(path)
-
-    def _direct(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Raw ids of each whole text."""
-        if len(self.spans) > self.kept:
-            self.spans = {}
-        cut, want = [], set()
-        for t in texts:
-            chunks = (t or "").split(" ")
-            cut.append(chunks)
-            want.update(chunks)
-        new = [c for c in want - self.spans.keys() if c and not c[0].isspace() and not c[-1].isspace()]
-        self.spans.update(zip(new, self._direct([" " + c for c in new]), strict=True))
-        get, heads, rests = self.spans.__getitem__, [], []
-        for t, chunks in zip(texts, cut, strict=True):
-            try:
-                rest = b"".join(map(get, chunks[1:]))
-                get(chunks[0])
-                heads.append(chunks[0])
-                rests.append(rest)
-            except KeyError:  # other white space beside a space, or no text
-                heads.append(t or "")
-                rests.append(b"")
-        return list(map(bytes.__add__, self._direct(heads), rests))
-
-
 # ---- files
 
 
@@ -216,7 +172,7 @@ def _writer(out: str, tokenizer: str, end_id: int, shard_bytes: int):
         from pyspark import TaskContext
 
         part, seq, keys, payload, size = TaskContext.get().partitionId(), 0, [], [], 0
-        encoder = SpanEncoder.load(tokenizer)
+        encoder = Encoder.load(tokenizer)
         end = np.array([end_id], encoder.kind).tobytes()
         width = len(end)
         fs, root = filesystem(out)
@@ -225,16 +181,19 @@ def _writer(out: str, tokenizer: str, end_id: int, shard_bytes: int):
         def flush():
             name = f"{root}/shard-{part:06d}-{seq:05d}"
             own = np.array(keys, "<i8")
+            keyed = own[own != NULL_KEY]
             starts = np.concatenate(([0], np.cumsum(np.array(list(map(len, payload)), np.int64) // width)))
             for ending, data in ((".ids", payload), (".key", [own.tobytes()]), (".mph", [index_bytes(own, starts, width)])):
                 temp = f"{root}/.{part:06d}-{seq:05d}{ending}.{os.getpid()}-{TaskContext.get().taskAttemptId()}"
                 with fs.open_output_stream(temp) as f:
                     f.write(b"".join(data))
                 fs.move(temp, name + ending)
-            return pa.RecordBatch.from_pydict({"base": [f"{out}/shard-{part:06d}-{seq:05d}"], "part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "docs": [len(own)], "ids": [int(starts[-1])]})
+            first, last = (pa.array([int(keyed[k])] if len(keyed) else [None], pa.int64()) for k in (0, -1))
+            row = [pa.array([f"{out}/shard-{part:06d}-{seq:05d}"]), pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([len(own)]), pa.array([int(starts[-1])]), first, last]
+            return pa.RecordBatch.from_arrays(row, names=["base", "part", "seq", "docs", "ids", "first_key", "last_key"])
 
-        for batch in batches:
-            ids = encoder.encode(batch.column(1).to_pylist())
+        for batch in (p for b in batches for p in parts(b, b.column(1))):
+            ids = encoder.encode(batch.column(1))
             for key, own in zip(batch.column(0).to_pylist(), ids, strict=True):
                 keys.append(NULL_KEY if key is None else key)
                 payload.append(own + end)
@@ -249,20 +208,48 @@ def _writer(out: str, tokenizer: str, end_id: int, shard_bytes: int):
 
 
 def write_token_files(docs: DataFrame, out: str, tokenizer: str | None = None, end_id: int = END_ID, shard_bytes: int = SHARD_BYTES, ranges: int | None = None) -> DataFrame:
-    """Write docs (doc_id, text) to shards under `out`; the manifest: base, part, seq, docs, ids, start (first id of all)."""
+    """Write docs (doc_id, text) to shards under `out`, and the manifest to out/manifest.
+
+    The manifest has a row for each shard: base, part, seq, docs, ids, first_key, last_key, start (first id of all).
+    """
     spark = docs.sparkSession
-    small_batches(spark)
     n = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(n, F.col("doc_id").asc_nulls_first())
-    rows = rows.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text").select("doc_id", "text")
-    made = rows.mapInArrow(_writer(out, tokenizer or default_tokenizer(), end_id, shard_bytes), "base string, part int, seq int, docs long, ids long")
-    manifest = materialize(made, "manifest")
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), F.col("text")]
+    # ranges of (id, hash): rows without an id, or of one id, are dealt over several tasks too
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(n, *order[:2]).sortWithinPartitions(*order)
+    made = rows.mapInArrow(_writer(out, tokenizer or default_tokenizer(), end_id, shard_bytes), "base string, part int, seq int, docs long, ids long, first_key long, last_key long")
+    manifest = materialize(made, "manifest", f"{out}/manifest")
     before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)  # one row for each shard
     return manifest.withColumn("start", F.coalesce(F.sum("ids").over(before), F.lit(0)))
 
 
+class TokenFiles:
+    """Keyed access to all shards under a folder.
+
+    The directory, a row for each shard, is held in memory; a key's shard is the first whose last key isn't below it,
+    and the shard's index gives the place in constant time. Of `kept` shards the index stays loaded.
+    """
+
+    def __init__(self, out: str, kept: int = 64):
+        from pyarrow import dataset
+
+        fs, root = filesystem(out)
+        t = dataset.dataset(f"{root}/manifest", filesystem=fs, format="parquet", exclude_invalid_files=True).to_table(columns=["part", "seq", "base", "last_key"])
+        rows = sorted((p, s, b, k) for p, s, b, k in zip(*(t.column(i).to_pylist() for i in range(4)), strict=True) if k is not None)
+        self.bases, self.last = [r[2] for r in rows], np.array([r[3] for r in rows], np.int64)
+        self.shard = lru_cache(maxsize=kept)(Shard)
+
+    def get(self, doc_id: int) -> np.ndarray | None:
+        """The ids of the (first) document with this id, or None."""
+        i = int(np.searchsorted(self.last, doc_id))
+        return self.shard(self.bases[i]).get(doc_id) if i < len(self.bases) else None
+
+
 def read_token_files(manifest: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of each document, read from the shards: each key is looked up in the index."""
+    """doc_id, start, n_tokens, ids_crc32 of each document, read from the shards: each key is looked up in the index.
+
+    Shards are dealt over as many tasks as there are shards, MAX_READERS at most; a task holds one shard at a time.
+    """
 
     def go(batches):
         import pyarrow as pa
@@ -281,7 +268,8 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                 doc = pa.array(keys, mask=keys == NULL_KEY)
                 yield pa.RecordBatch.from_arrays([doc, pa.array(lo + start), pa.array(hi - lo), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    spread = manifest.select("base", "start").repartition("base")
+    readers = min(max(manifest.count(), 1), MAX_READERS)
+    spread = manifest.select("base", "start").repartition(readers, "base")
     return spread.mapInArrow(go, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gristmill.llm._common import fold, labelled_sample, small_batches, utf8
+from gristmill.llm._common import fold, labelled_sample, utf8
 
 SAMPLE_TOXIC = 1_500
 SAMPLE_ORDINARY = 4_500
@@ -190,7 +190,6 @@ def train(texts: list[bytes], y: np.ndarray, class_sizes: tuple[int, int] | None
 
 
 def fit(docs: DataFrame, labels: DataFrame, toxic_cap: int = SAMPLE_TOXIC, ordinary_cap: int = SAMPLE_ORDINARY, max_chars: int = SAMPLE_CHARS) -> Model:
-    small_batches(docs.sparkSession)
     sizes = dict(labels.where("doc_id is not null and toxic is not null").where(fold("doc_id") != 2).groupBy("toxic").count().collect())
     sample = labelled_sample(labels.where("toxic = 1"), "toxic", toxic_cap).unionByName(labelled_sample(labels.where("toxic = 0"), "toxic", ordinary_cap))
     sample = F.broadcast(sample.groupBy("doc_id").agg(F.max("y").alias("y")))  # at most toxic_cap + ordinary_cap rows

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gristmill.llm._common import materialize, scratch, small_batches, utf8
+from gristmill.llm._common import materialize, scratch, utf8
 from gristmill.llm._components import connected_components
 from gristmill.llm._forest import Forest
 from gristmill.llm._xxh64 import hash_slices
@@ -244,7 +244,6 @@ def _links(limit: int):
 
 def linked_fingerprints(prints: DataFrame, max_bits: int = MAX_BITS, leaf_rows: int = LEAF_ROWS, max_leaves: int = MAX_LEAVES) -> DataFrame:
     """(doc_id, fp) to (fp, component_id): for each fingerprint the least doc_id that links reach from it."""
-    small_batches(prints.sparkSession, 10_000)
     reps = materialize(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")), "fps")
     n = reps.count()
     if n == 0:
@@ -258,7 +257,6 @@ def linked_fingerprints(prints: DataFrame, max_bits: int = MAX_BITS, leaf_rows:
 
 def simhash_components(docs: DataFrame, **kw) -> DataFrame:
     """doc_id, fp (signed 64 bits), component_id for each row of docs (doc_id, text)."""
-    small_batches(docs.sparkSession)
     prints = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), fingerprint("text").alias("fp")), "prints")
     found = linked_fingerprints(prints, **kw)
     return prints.join(found, "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
@@ -273,7 +271,6 @@ def keep_one(docs: DataFrame, **kw) -> DataFrame:
     c, h, n = scratch("id"), scratch("hash"), scratch("row")
     own = docs.where("doc_id is not null")
     row = F.xxhash64(*[k for k, kind in docs.dtypes if "map<" not in kind and "variant" not in kind])
-    small_batches(docs.sparkSession)
     prints = materialize(own.select(F.struct(F.col("doc_id").alias(c), row.alias(h)).alias("first"), fingerprint("text").alias("fp")).groupBy("fp").agg(F.min("first").alias("first")), "firsts")
     found = linked_fingerprints(prints.select(F.col("fp").alias("doc_id"), "fp"), **kw)  # components of fingerprints, not of ids
     heads = prints.join(found, "fp").groupBy("component_id").agg(F.min("first").alias("first")).select("first.*")

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm._common import labelled_sample, scratch, small_batches
+from gristmill.llm._common import labelled_sample, scratch
 from gristmill.llm._textstats import stats
 
 SAMPLE_ROWS = 12_000
@@ -156,7 +156,6 @@ def base_failed(s: Column) -> Column:
 
 def fit_rules(docs: DataFrame, labels: DataFrame, cap: int = SAMPLE_ROWS, **kw) -> list[Rule]:
     """Learn from a bounded sample of the labelled documents; the sample's statistics come to the driver."""
-    small_batches(docs.sparkSession)
     sample = F.broadcast(labelled_sample(labels, "quality", cap))  # at most cap rows
     found = docs.select("doc_id", "text").join(sample, "doc_id").select("y", "doc_id", stats("text").alias("s")).select("y", "doc_id", "s.*").orderBy("doc_id", "n_bytes").limit(2 * cap).toPandas()
     rows = {c: found[c].to_numpy() for c in found.columns}

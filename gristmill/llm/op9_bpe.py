@@ -2,8 +2,11 @@
 
 Pieces of a batch that no earlier batch of the worker has had are bucketed by length and padded into matrices of token
 ids, one row each. Each round every row merges its leftmost pair of minimum rank, found through a hashed table of the
-pairs that merge; the matrix is compacted by one column and rows without a pair leave it. Equal pieces are encoded
-once; the table of pieces that a worker keeps has a fixed bound and is emptied when full, which changes no result.
+pairs that merge; the matrix is compacted by one column and rows without a pair leave it. A matrix copies its row each
+round, which is quadratic in the row's length: a piece of more than LONG bytes (an unbroken run of letters or of encoded
+data) is a linked row instead, whose pairs stand in a heap by (rank, place), so that the leftmost pair of minimum rank
+comes first and a merge touches its neighbours alone. Equal pieces are encoded once; the table of pieces that a worker
+keeps has fixed bounds and is emptied when full, which changes no result.
 
 Where a single space stands between two characters that aren't white space the pattern always begins a match, so in
 texts without other runs with a space what lies between two spaces is encoded by itself and known again.
@@ -19,19 +22,25 @@ from __future__ import annotations
 import base64
 import hashlib
 from functools import lru_cache
+from heapq import heappop, heappush
 
 import numpy as np
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm._common import small_batches
+from gristmill.llm._common import parts
 
-#: Chunks between spaces that a worker keeps the ids of.
+#: Chunks between spaces that a worker keeps the ids of, and their bytes with the ids'.
 KEPT_PIECES = 500_000
+KEPT_BYTES = 64 << 20
+#: Bytes from which on a piece is a linked row.
+LONG = 512
 #: Pairs tried for one slot of the hashed table, and cells of one matrix.
 CELLS = 1 << 20
-NEVER = np.int32(2**31 - 1)
+NEVER = 2**31 - 1
+#: Bytes of text encoded together.
+PART_BYTES = 2 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -100,6 +109,7 @@ class Codec:
         pairs = [(ranks[t[:k]], ranks[t[k:]], r) for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
         self.pairs = PairTable(*np.array(pairs, np.int64).reshape(-1, 3).T)
         self.spans: dict[str, bytes] = {}
+        self.size = 0
 
     @staticmethod
     @lru_cache(maxsize=2)
@@ -114,7 +124,10 @@ class Codec:
         out = [b""] * len(pieces)
         sizes = np.array(list(map(len, pieces)), np.int64)
         order = np.argsort(sizes, kind="stable")
-        lo = int(np.searchsorted(sizes[order], 1))
+        lo, long = np.searchsorted(sizes[order], (1, LONG)).tolist()
+        for i in order[long:].tolist():
+            out[i] = self._merge_linked(pieces[i])
+        order = order[:long]
         while lo < len(order):  # rows of a matrix: similar lengths, a bounded number of cells
             shortest = sizes[order[lo]]
             hi = int(np.searchsorted(sizes[order], shortest + max(1, shortest // 8), side="right"))
@@ -123,6 +136,42 @@ class Codec:
             lo = hi
         return out
 
+    def _merge_linked(self, piece: bytes) -> bytes:
+        """The same merges of one long piece: a heap of pairs and links between neighbours."""
+        n, tokens, rank = len(piece), self.tokens, self.ranks.get
+        ids = self.of_byte[np.frombuffer(piece, np.uint8)]
+        low = self.pairs.get(ids[:-1], ids[1:])
+        at = np.flatnonzero(low != NEVER)
+        heap = np.sort(low[at].astype(np.int64) << 32 | at).tolist()  # rank, then place; sorted is a heap
+        ids, low = ids.tolist(), [*low.tolist(), NEVER]
+        after, before, place = list(range(1, n + 1)), list(range(-1, n - 1)), (1 << 32) - 1
+        while heap:
+            r = heappop(heap)
+            i, r = r & place, r >> 32
+            if low[i] != r:  # this pair is gone
+                continue
+            j = after[i]
+            k = after[j]
+            ids[i], after[i], low[j] = r, k, -1
+            own = tokens[r]
+            if k < n:
+                before[k] = i
+                low[i] = x = rank(own + tokens[ids[k]], NEVER)
+                if x != NEVER:
+                    heappush(heap, x << 32 | i)
+            else:
+                low[i] = NEVER
+            h = before[i]
+            if h >= 0:
+                low[h] = x = rank(tokens[ids[h]] + own, NEVER)
+                if x != NEVER:
+                    heappush(heap, x << 32 | h)
+        out, i = [], 0
+        while i < n:
+            out.append(ids[i])
+            i = after[i]
+        return np.array(out, "<u4").tobytes()
+
     def _merge_matrix(self, rows: list[bytes], sizes: np.ndarray, name: np.ndarray, out: list) -> None:
         width = int(sizes[-1])
         padded = np.frombuffer(b"".join(x.ljust(width, b"\0") for x in rows), np.uint8).reshape(-1, width)
@@ -179,7 +228,8 @@ class Codec:
         heads = [i for i, p in enumerate(parts) if p[0] == " "]  # a space begins a chunk
         ids = list(map(get, parts))
         for c, lo, hi in zip(chunks, heads, [*heads[1:], len(parts)], strict=True):
-            self.spans[c] = ids[lo] if hi == lo + 1 else b"".join(ids[lo:hi])
+            self.spans[c] = own = ids[lo] if hi == lo + 1 else b"".join(ids[lo:hi])
+            self.size += len(c) + len(own)
 
     def _direct(self, texts: list[str]) -> list[bytes]:
         parts = list(map(self.pattern.findall, texts))
@@ -188,8 +238,8 @@ class Codec:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each whole text as little-endian unsigned 32-bit integers."""
-        if len(self.spans) > self.kept:
-            self.spans = {}
+        if len(self.spans) > self.kept or self.size > KEPT_BYTES:
+            self.spans, self.size = {}, 0
         cut, want = [], set()
         for t in texts:
             chunks = (t or "").split(" ")
@@ -217,13 +267,12 @@ class Codec:
 def encode_decode(docs: DataFrame, ranks: str | None = None, pattern: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 for each row of docs (doc_id, text)."""
     ranks, pattern = ranks or default_ranks(), pattern or default_pattern()
-    small_batches(docs.sparkSession)
 
     def go(batches):
         import pyarrow as pa
 
         codec = Codec.load(ranks, pattern)
-        for batch in batches:
+        for batch in (p for b in batches for p in parts(b, b.column(1), PART_BYTES)):
             ids = codec.encode(batch.column(1).to_pylist())
             n = pa.array([len(x) // 4 for x in ids], pa.int64())
             shas = [hashlib.sha256(x).hexdigest() for x in ids]
@@ -237,13 +286,12 @@ def encode_decode(docs: DataFrame, ranks: str | None = None, pattern: str | None
 def token_ids(docs: DataFrame, ranks: str | None = None, pattern: str | None = None) -> DataFrame:
     """doc_id and the ids themselves, as an array of ints."""
     ranks, pattern = ranks or default_ranks(), pattern or default_pattern()
-    small_batches(docs.sparkSession)
 
     def go(batches):
         import pyarrow as pa
 
         codec = Codec.load(ranks, pattern)
-        for batch in batches:
+        for batch in (p for b in batches for p in parts(b, b.column(1), PART_BYTES)):
             ids = [np.frombuffer(x, "<u4").astype(np.int32) for x in codec.encode(batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
