@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import time
 
 import numpy as np
 import pyarrow.parquet as pq
@@ -49,6 +50,27 @@ def test_white_space(codec, reference, texts):
         assert np.frombuffer(ids, "<u4").tolist() == reference.encode_ordinary(t)
 
 
+@pytest.mark.parametrize("text", ["x" * 3_000, "abcdefghij" * 300, "日本語の" * 400, "é" * 2_000, "#!" * 1_500, "theinand" * 200 + " " + "ontion" * 300])
+def test_long_pieces_are_linked_rows(codec, reference, text):
+    assert np.frombuffer(codec.encode([text])[0], "<u4").tolist() == reference.encode_ordinary(text)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from(["e", "t", "a", "in", "ing", "on", "the", "x", "xx"]), min_size=1, max_size=400))
+def test_both_ways_to_merge_agree(codec, parts):
+    piece = "".join(parts).encode()
+    matrix = [b""]
+    codec._merge_matrix([piece], np.array([len(piece)]), np.array([0]), matrix)
+    assert codec._merge_linked(piece) == matrix[0]
+
+
+def test_a_piece_of_a_million_letters(codec, reference):
+    text = "".join(np.random.default_rng(4).choice(list("etaoinshrd"), 1_000_000))
+    began = time.process_time()
+    ids = codec.encode([text])[0]
+    assert time.process_time() - began < 60 and np.frombuffer(ids, "<u4").tolist() == reference.encode_ordinary(text)
+
+
 def test_a_full_table_changes_nothing(reference):
     c = op.Codec.load(op.default_ranks(), op.default_pattern())
     small = op.Codec(c.ranks, op.default_pattern(), kept=3)
