@@ -1,7 +1,7 @@
 """Mixing sources to target weights: hash-random keys, a range sort within each source, distributed prefix sums of
 token counts, and a cut at each source's exact budget, with repeated epochs. DataFrame functions only.
 
-Scale: texts are read once for their sizes. Each source is dealt over ranges of its random key (uniform, so even a
+Scale: texts are read once for their sizes, and by `mix_documents` once more, without a shuffle. Each source is dealt over ranges of its random key (uniform, so even a
 source with a third of all rows gives equal ranges); prefix sums of the ranges' totals are taken over that table of
 ranges, and rows only meet the rows of their own range.
 
@@ -23,8 +23,9 @@ SEED = "mix-1"
 #: Documents of all sources together for each range of keys: a source with a share of the rows has that share of them
 #: in each of its ranges, so no task holds more than a few ranges whatever the source.
 RANGE_ROWS = 512
-#: Bound of ranges of a source, a power of 2.
+#: Bound of ranges of a source, a power of 2, and of the sources whose cuts are broadcast.
 MAX_RANGES = 1 << 16
+MAX_BROADCAST = 10_000
 
 
 def word_count(text: Column) -> Column:
@@ -66,7 +67,7 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOC
 
 
 def mix_sizes(sized: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED, range_rows: int = RANGE_ROWS) -> DataFrame:
-    """(doc_id, source, size, ...) to the same rows with source_size, target, epochs (whole passes) and part (words of the last pass).
+    """(doc_id, source, size, ...) to the same rows with key, source_size, target, epochs (whole passes) and part (words of the last pass).
 
     `sized` is read several times: give it materialized.
     """
@@ -94,7 +95,7 @@ def mix_sizes(sized: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, s
     rows = rows.withColumn("epochs", whole)
     rest = budget - F.col("epochs") * F.col("source_size")
     part = F.least(F.greatest(rest - (F.col("bin_start") + F.col("inner_start")), F.lit(0)), F.col("size"))
-    return rows.withColumn("part", part.cast("long")).drop("inner_start", "bin_start", "key")
+    return rows.withColumn("part", part.cast("long")).drop("inner_start", "bin_start")
 
 
 def mix_plan(docs: DataFrame, **kw) -> DataFrame:
@@ -104,39 +105,50 @@ def mix_plan(docs: DataFrame, **kw) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("part")).cast("long").alias("taken"))
 
 
-def mix_documents(docs: DataFrame, **kw) -> DataFrame:
+def source_cuts(docs: DataFrame, **kw) -> DataFrame:
+    """One row for each source: `epochs`, and `cut`, the last place in key order that the last pass reaches.
+
+    A place is (key, doc_id, size); the cut also has how many rows share it and how many words they give in all. Null
+    where the last pass takes nothing.
+    """
+    rows = mix_sizes(materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix"), **kw).where("size > 0")
+    places = rows.groupBy("source", "key", "doc_id", "size").agg(F.max("epochs").alias("epochs"), F.sum("part").alias("words"), F.count(F.lit(1)).alias("n"))
+    reached = F.when(F.col("words") > 0, F.struct("key", "doc_id", "size", "words", "n"))
+    return places.groupBy("source").agg(F.max("epochs").alias("epochs"), F.max(reached).alias("cut"))
+
+
+def mix_documents(docs: DataFrame, seed: str = SEED, **kw) -> DataFrame:
     """The mix itself: each document once for every whole pass, and once more where the last pass takes it.
 
     The document in which a source's budget ends is cut at that word, so that every source has its exact budget;
-    n_chars, if there, follows the text. Columns are those of docs. Rows meet the plan by (doc_id, source, size); where
-    the budget ends among several rows of that kind, the first of them by a hash of the row are taken.
+    n_chars, if there, follows the text. Columns are those of docs. In key order the last pass takes the rows before
+    its source's cut whole and none after it, so each row is decided by the row of its source alone and texts aren't
+    shuffled. Where several rows stand at the cut (equal ids and sizes), the first by a hash of the row are taken.
     """
-    plan = mix_sizes(materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix"), **kw)
-    e, f, p, z, d, s, n, own, take = (scratch(x) for x in ("epochs", "full", "part", "size", "id", "source", "rows", "own", "take"))
-    whole = F.col("part") == F.col("size")
-    plan = plan.where("size > 0").groupBy(F.col("doc_id").alias(d), F.col("source").alias(s), F.col("size").alias(z))
-    plan = plan.agg(F.max("epochs").alias(e), F.count_if(whole).alias(f), F.sum(F.when(whole, 0).otherwise(F.col("part"))).alias(p), F.count(F.lit(1)).alias(n))
-    plan = materialize(plan.where((F.col(e) > 0) | (F.col(f) > 0) | (F.col(p) > 0)), "mixed")
-    sized = docs.withColumn(own, word_count(F.col("text")))
-
-    def meet(plan):
-        return sized.join(plan, F.col("doc_id").eqNullSafe(F.col(d)) & F.col("source").eqNullSafe(F.col(s)) & (F.col(own) == F.col(z)))
-
-    # a kind of several rows in which a budget ends: one for each source at most, none while ids are unique
-    ends = (F.col(n) > 1) & (F.col(f) < F.col(n)) & ((F.col(f) > 0) | (F.col(p) > 0))
-    rows = meet(plan.where(~ends)).withColumn(p, F.when(F.col(f) == F.col(n), F.col(z)).otherwise(F.col(p)))
-    if not plan.where(ends).isEmpty():
+    cuts = materialize(source_cuts(docs, seed=seed, **kw), "cuts")
+    s, e, cut, own, part, key, take = (scratch(x) for x in ("source", "epochs", "cut", "size", "part", "key", "take"))
+    cuts = cuts.select(F.col("source").alias(s), F.col("epochs").alias(e), F.col("cut").alias(cut))
+    small = cuts.count() <= MAX_BROADCAST
+    rows = docs.withColumns({own: word_count(F.col("text")), key: random_key(F.col("doc_id"), seed)})
+    rows = rows.join(F.broadcast(cuts) if small else cuts, F.col("source").eqNullSafe(F.col(s)))  # at most MAX_BROADCAST rows
+    place = F.struct(F.col(key).alias("key"), F.col("doc_id").alias("doc_id"), F.col(own).alias("size"))
+    last = F.struct(F.col(cut)["key"].alias("key"), F.col(cut)["doc_id"].alias("doc_id"), F.col(cut)["size"].alias("size"))
+    at_cut, words = F.col(cut).isNotNull() & (place == last), F.col(cut)["words"]
+    rows = rows.withColumn(part, F.when(at_cut, words).when(F.col(cut).isNotNull() & (place < last), F.col(own)).otherwise(0))
+    if not cuts.where(F.col(cut)["n"] > 1).isEmpty():
+        tied = at_cut & (F.col(cut)["n"] > 1)
         row = F.xxhash64(*[k for k, kind in docs.dtypes if "map<" not in kind and "variant" not in kind])
-        cut = meet(plan.where(ends)).withColumn(own, F.row_number().over(Window.partitionBy(d, s, z).orderBy(row)))
-        rows = rows.unionByName(cut.withColumn(p, F.when(F.col(own) <= F.col(f), F.col(z)).when(F.col(own) == F.col(f) + 1, F.col(p)).otherwise(0)).withColumn(own, F.col(own).cast("long")))
+        turn = F.row_number().over(Window.partitionBy(s).orderBy(row)) - 1  # of the rows at one source's cut
+        left = F.least(F.greatest(words - turn * F.col(own), F.lit(0)), F.col(own))
+        rows = rows.where(~tied).unionByName(rows.where(tied).withColumn(part, left))
     # full copies, then the last pass: size words if it takes the document whole, else part
-    copies = F.concat(F.array_repeat(F.col(z), F.col(e).cast("int")), F.when(F.col(p) > 0, F.array(F.col(p))).otherwise(F.array().cast("array<bigint>")))
-    rows = rows.withColumn(take, F.explode(copies))
+    copies = F.concat(F.array_repeat(F.col(own), F.col(e).cast("int")), F.when(F.col(part) > 0, F.array(F.col(part))).otherwise(F.array().cast("array<bigint>")))
+    rows = rows.where(F.col(own) > 0).withColumn(take, F.explode(copies))
     # each word with the white space after it; white space at the start is an item of its own
     items = F.split("text", r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
     lead = F.rlike(F.col("text"), F.lit(r"^[\x20\x09-\x0D]")).cast("long")
     head = F.array_join(F.slice(items, F.lit(1), (F.col(take) + lead).cast("int")), "")
-    text = F.when(F.col(take) >= F.col(z), F.col("text")).otherwise(head)
+    text = F.when(F.col(take) >= F.col(own), F.col("text")).otherwise(head)
     kinds = dict(docs.dtypes)
     out = {c: (text if c == "text" else F.length(text).cast(kinds[c]) if c == "n_chars" else F.col(c)) for c in docs.columns}
     return rows.select(*[v.alias(k) for k, v in out.items()])
