@@ -21,7 +21,7 @@ import pyarrow as pa
 from gristmill.llm._common import quiet_threads
 
 #: Pieces that a worker keeps the ids of, and pieces in one call of the library.
-KEPT_PIECES = 1_000_000
+KEPT_PIECES = 600_000
 CALL_PIECES = 128
 #: Bytes of a piece that is kept; longer ones are encoded each time.
 LONGEST_KEPT = 64
