@@ -14,7 +14,10 @@ cut into blocks that meet pairwise, so that a task's matrix has a bound. Cells r
 and a forest of links, never pairs: a pair is counted in the least filter that both share. Counting the links of each
 of n near copies takes n^2 / 2 products of vectors by the nature of the result; they run as matrix products, in cells.
 
-Defined results: a null label, and vectors that are null, empty, zero or hold null or non-finite components, link with
+Volume: each of about 32 filters of a vector gets the vector and its list of filters, some 50 times the input, in
+proportion to it.
+
+Defined results: labels may be of any simple type and are compared as they are; a null label, and vectors that are null, empty, zero or hold null or non-finite components, link with
 nothing; vectors of different length don't link; repeated rows link with each other; a null vec_id has a null component
 and kept is false; an empty table gives no rows; other columns are ignored.
 """
@@ -183,7 +186,7 @@ def _cells(cosine: float):
         def flush():
             if sum(len(p[1]) for p in parts) < 2:
                 return
-            f, across = key[2], key[3] != key[4]
+            f, across = int(key[2]), key[3] != key[4]
             block, rid, mult, off_values, lists = zip(*parts, strict=True)
             x = unit(np.concatenate(off_values))
             found = _cell(f, across, np.concatenate(block), np.concatenate(rid), np.concatenate(mult), x, [y for p in lists for y in p], cosine)
@@ -192,7 +195,7 @@ def _cells(cosine: float):
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pair[0]), kind, np.int32)), pa.array(pair[0]), pa.array(pair[1])], names=["kind", "a", "b"])
 
         for batch in batches:
-            names = [batch.column(i).to_numpy() for i in range(5)]
+            names = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
             block, rid, mult = (batch.column(i).to_numpy() for i in (5, 6, 7))
             off, values = _lists(batch.column(8))
             f_off, f_values = _lists(batch.column(9))
@@ -203,7 +206,7 @@ def _cells(cosine: float):
             for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(rid)], strict=True):
                 if lo == hi:
                     continue
-                now = tuple(int(c[lo]) for c in names)
+                now = tuple(c[lo] for c in names)
                 if now != key:
                     yield from flush()
                     parts, key = [], now
@@ -231,7 +234,9 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, filters: float = FI
     full = met.groupBy("label", "dims", "f").count().where(F.col("count") > cell_rows).select("label", "dims", "f", F.ceil(F.col("count") / cell_rows).cast("int").alias("nb"))
     met = met.join(full, ["label", "dims", "f"], "left").withColumn("nb", F.coalesce("nb", F.lit(1)))
     met = met.withColumn("block", F.pmod(F.xxhash64("rid"), F.col("nb")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    lab = F.col("label").cast("long") if dict(rows.dtypes)["label"] in ("tinyint", "smallint", "int", "bigint") else F.xxhash64("label")
+    kind = dict(rows.dtypes)["label"]
+    # the label itself is the key: whole numbers as such, others as text (+ 0.0: a negative zero is zero)
+    lab = F.col("label").cast("long") if kind in ("tinyint", "smallint", "int", "bigint") else (F.col("label") + 0.0 if kind in ("float", "double") else F.col("label")).cast("string")
     cells = met.select(lab.alias("lab"), "dims", "f", F.least("block", "other").alias("ci"), F.greatest("block", "other").alias("cj"), "block", "rid", "mult", "embedding", "filters")
     key = ["lab", "dims", "f", "ci", "cj"]
     found = materialize(cells.repartition(*key).sortWithinPartitions(*key).mapInArrow(_cells(cosine), "kind int, a long, b long"), "links")

@@ -78,6 +78,17 @@ def test_edges(spark):
     assert op.near_vectors(df).count() == 1
 
 
+@pytest.mark.parametrize(("kind", "labels"), [("string", ["a", "b", ""]), ("double", [0.0, -0.0, float("nan")]), ("boolean", [True, False, None])])
+def test_labels_of_other_types_and_repeated_ids(spark, kind, labels):
+    e = [1.0, 2.0, 3.0, 4.0]
+    rows = [(i % 4, e, labels[i % 3]) for i in range(12)]
+    df = spark.createDataFrame(rows, f"vec_id long, embedding array<float>, label {kind}")
+    got = op.near_vectors(df).collect()
+    same = lambda a, b: a is not None and b is not None and (a == b or (a != a and b != b))
+    want = sorted((i, sum(same(x, y) for _, _, y in rows) - 1 if x is not None else 0) for i, _, x in rows)
+    assert sorted((r.vec_id, r.n_links) for r in got) == want
+
+
 def test_tiny_and_huge_components(spark):
     rows = f32([(1, [1e-30, 2e-30, 3e-30], 1), (2, [1e30, 2e30, 3e30], 1), (3, [1.0, 2.0, 3.5], 1)])
     got = run(spark, rows)
