@@ -2,126 +2,99 @@
 
 from __future__ import annotations
 
-
-def _terms(text: str) -> tuple[str, ...]:
-    """Comma-separated terms of a text, in its order."""
-    return tuple(t.strip() for t in text.replace("\n", ",").split(",") if t.strip())
-
-
-def _pairs(text: str) -> dict[str, str | None]:
-    """Lines of `surface form = canonical form`; `none` stands for no form at all."""
-    rows = (line.split("=") for line in text.strip().splitlines())
-    return {k.strip(): None if v.strip() == "none" else v.strip() for k, v in rows}
-
-
 # ---- Fixed values: results depend on exactly these words, so they are stated as they are.
 
 #: Terms of the product that are aspects wherever they occur as a word.
-DOMAIN_TERMS = _terms("""
-ui, ux, app, bug, ads, api, otp, pin
-login, signup, logout, password, account, profile
-notification, notifications, update, updates, crash, crashes
-battery, storage, memory, speed, performance, loading
-camera, audio, video, screen, button, menu, settings
-search, filter, feed, chat, message, call, payment
-subscription, premium, customer service, support, refund
-""")
+DOMAIN_TERMS = (
+    "ui", "ux", "app", "bug", "ads", "api", "otp", "pin", "login", "signup", "logout", "password", "account", "profile", "notification",
+    "notifications", "update", "updates", "crash", "crashes", "battery", "storage", "memory", "speed", "performance", "loading", "camera", "audio",
+    "video", "screen", "button", "menu", "settings", "search", "filter", "feed", "chat", "message", "call", "payment", "subscription", "premium",
+    "customer service", "support", "refund",
+)
 
 #: Chunks that name no aspect.
-EMPTY_ASPECTS = _terms("""
-i, you, he, she, it, we, they, me, him, her, us, them
-my, your, his, its, our, their, this, that, these, those
-everything, something, anything, nothing, someone, anyone
-everyone, nobody, somebody, whoever, whatever
-time, way, lot, bit, all, one, two, more
-people, money, a lot, english, reason, stuff, thing, things
-issue, issues, problem, problems, experience, feature, features
-""")
+EMPTY_ASPECTS = (
+    "i", "you", "he", "she", "it", "we", "they", "me", "him", "her", "us", "them", "my", "your", "his", "its", "our", "their", "this", "that",
+    "these", "those", "everything", "something", "anything", "nothing", "someone", "anyone", "everyone", "nobody", "somebody", "whoever", "whatever",
+    "time", "way", "lot", "bit", "all", "one", "two", "more", "people", "money", "a lot", "english", "reason", "stuff", "thing", "things", "issue",
+    "issues", "problem", "problems", "experience", "feature", "features",
+)
 
 #: Surface form to canonical aspect, at extraction.
-CANONICAL_ASPECTS = _pairs("""
-this app = app
-the app = app
-your app = app
-my app = app
-an app = app
-this application = app
-the application = app
-videos = video
-messages = message
-updates = update
-ads = ad
-crashes = crash
-bugs = bug
-reviews = review
-features = feature
-accounts = account
-payments = payment
-notifications = notification
-subscriptions = subscription
-""")
-
-#: Surface form to canonical aspect when issues are ranked; none drops the mention.
-RANKING_ASPECTS = _pairs("""
-the search results = search
-the search = search
-search results = search
-searches = search
-the new ui = ui
-new ui = ui
-this update = update
-the latest update = update
-latest update = update
-no driver = driver availability
-worst experience = user experience
-the keyboard = keyboard
-the app = none
-this app = none
-the platform = none
-the day = none
-worst app = none
-1 star = none
-years = none
-""")
+CANONICAL_ASPECTS = {
+    "this app": "app",
+    "the app": "app",
+    "your app": "app",
+    "my app": "app",
+    "an app": "app",
+    "this application": "app",
+    "the application": "app",
+    "videos": "video",
+    "messages": "message",
+    "updates": "update",
+    "ads": "ad",
+    "crashes": "crash",
+    "bugs": "bug",
+    "reviews": "review",
+    "features": "feature",
+    "accounts": "account",
+    "payments": "payment",
+    "notifications": "notification",
+    "subscriptions": "subscription",
+}
+
+#: Surface form to canonical aspect when issues are ranked; None drops the mention.
+RANKING_ASPECTS = {
+    "the search results": "search",
+    "the search": "search",
+    "search results": "search",
+    "searches": "search",
+    "the new ui": "ui",
+    "new ui": "ui",
+    "this update": "update",
+    "the latest update": "update",
+    "latest update": "update",
+    "no driver": "driver availability",
+    "worst experience": "user experience",
+    "the keyboard": "keyboard",
+    "the app": None,
+    "this app": None,
+    "the platform": None,
+    "the day": None,
+    "worst app": None,
+    "1 star": None,
+    "years": None,
+}
 
 #: An aspect with one of these anywhere in it is no product feature.
-NOISE_SUBSTRINGS = _terms("""
-yogesh, rawat, lockup, biased, unfair
-this point, the platform, everything, something
-nothing, anything, a lot, a bit, the way
-this app
-star, stars, rating, review, reviews
-the day, the week, the month, the year
-yesterday, today, tonight
-""")
+NOISE_SUBSTRINGS = (
+    "yogesh", "rawat", "lockup", "biased", "unfair", "this point", "the platform", "everything", "something", "nothing", "anything", "a lot", "a bit",
+    "the way", "this app", "star", "stars", "rating", "review", "reviews", "the day", "the week", "the month", "the year", "yesterday", "today",
+    "tonight",
+)
 
 #: Aspects that are a product's own name.
-BRANDS = _terms("""
-amazon, netflix, spotify, instagram, whatsapp
-youtube, uber, twitter, duolingo, chatgpt, teams
-""")
+BRANDS = (
+    "amazon", "netflix", "spotify", "instagram", "whatsapp", "youtube", "uber", "twitter", "duolingo", "chatgpt", "teams",
+)
 
 #: Brand words that carry no topic in text vectors.
-VECTOR_BRANDS = _terms("""
-spotify, whatsapp, instagram, netflix, amazon
-duolingo, uber, youtube, teams, twitter, chatgpt
-google, apple, microsoft, meta
-""")
+VECTOR_BRANDS = (
+    "spotify", "whatsapp", "instagram", "netflix", "amazon", "duolingo", "uber", "youtube", "teams", "twitter", "chatgpt", "google", "apple",
+    "microsoft", "meta",
+)
 
-GENERIC_WORDS = _terms("""
-good, bad, ok, okay, great, nice, love, hate
-best, worst, fine, awesome, terrible, poor, excellent
-amazing, horrible, perfect, trash, rubbish, garbage
-wow, yes, no, meh, cool, lol, hmm
-""")
+GENERIC_WORDS = (
+    "good", "bad", "ok", "okay", "great", "nice", "love", "hate", "best", "worst", "fine", "awesome", "terrible", "poor", "excellent", "amazing",
+    "horrible", "perfect", "trash", "rubbish", "garbage", "wow", "yes", "no", "meh", "cool", "lol", "hmm",
+)
 
-QUESTION_STOP_WORDS = _terms("""
-the, a, an, is, are, has, have, what, which, app
-most, more, about, with, for, how, many, any, of
-in, on, at, to, and, or, do, does
-""")
+QUESTION_STOP_WORDS = (
+    "the", "a", "an", "is", "are", "has", "have", "what", "which", "app", "most", "more", "about", "with", "for", "how", "many", "any", "of", "in",
+    "on", "at", "to", "and", "or", "do", "does",
+)
 
-POSSESSIVES = _terms("my, your, his, her, its, our, their")
+POSSESSIVES = ("my", "your", "his", "her", "its", "our", "their")
 
 # ---- Our own values.
 
@@ -133,7 +106,8 @@ SENTIMENT = (
 )
 
 #: Common words of several languages that carry no topic in text vectors (our own short list).
-TOPIC_STOP_WORDS = _terms("""
-the, and, for, are, was, were, has, have, had, not, but, you, your, with, this, that, they, from, its, all, can, will, would, there, their, what, which, when, who, how
-der, die, das, und, ist, nicht, ein, eine, mit, von, les, des, une, est, pas, que, pour, los, las, una, por, con, del
-""")
+TOPIC_STOP_WORDS = (
+    "the", "and", "for", "are", "was", "were", "has", "have", "had", "not", "but", "you", "your", "with", "this", "that", "they", "from", "its",
+    "all", "can", "will", "would", "there", "their", "what", "which", "when", "who", "how", "der", "die", "das", "und", "ist", "nicht", "ein", "eine",
+    "mit", "von", "les", "des", "une", "est", "pas", "que", "pour", "los", "las", "una", "por", "con", "del",
+)

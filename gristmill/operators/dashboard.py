@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -155,6 +158,23 @@ def newest_runs(runs: DataFrame, n: int = 50) -> DataFrame:
     return runs.orderBy(F.col("started_at").desc(), F.col("id").desc()).limit(n).orderBy("started_at", "id")
 
 
-def cached(df: DataFrame) -> DataFrame:
-    """Keep a small result of the session in memory and on disk; call unpersist() when it's stale."""
-    return df.cache()
+class Cached:
+    """A small result kept for LIFETIME_S seconds; after that the next call computes it again."""
+
+    LIFETIME_S = 300.0
+
+    def __init__(self, make: Callable[[], DataFrame], lifetime_s: float = LIFETIME_S, clock: Callable[[], float] = time.monotonic):
+        self.make, self.lifetime_s, self.clock = make, lifetime_s, clock
+        self.kept: DataFrame | None = None
+        self.until = 0.0
+
+    def __call__(self) -> DataFrame:
+        if self.kept is None or self.clock() >= self.until:
+            self.clear()
+            self.kept, self.until = self.make().cache(), self.clock() + self.lifetime_s
+        return self.kept
+
+    def clear(self) -> None:
+        if self.kept is not None:
+            self.kept.unpersist()
+            self.kept = None

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,33 +68,54 @@ def finished_runs(apps: DataFrame, counts: DataFrame, started_at: str, completed
     )
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """The rows computed once, for plans that read them twice and must see the same partitions.
+
+    A reliable checkpoint where the context has a checkpoint folder; else kept with the session (tests).
+    """
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def with_ids(rows: DataFrame, order: list[str], start: int = 0, name: str = "id", ranges: int = 256) -> DataFrame:
     """Dense ids from start + 1 in the given order: counts of ranges first, then numbers within each."""
     w = Window.partitionBy("__part").orderBy(*order)
-    parts = rows.repartitionByRange(ranges, *order).withColumn("__part", F.spark_partition_id())
-    numbered = parts.withColumn("__n", F.row_number().over(w))
-    sizes = numbered.groupBy("__part").agg(F.count(F.lit(1)).alias("__c"))
+    parts = settled(rows.repartitionByRange(ranges, *order).withColumn("__part", F.spark_partition_id()))
+    sizes = parts.groupBy("__part").agg(F.count(F.lit(1)).alias("__c"))
     before = sizes.withColumn("__before", F.coalesce(F.sum("__c").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__c")
+    numbered = parts.withColumn("__n", F.row_number().over(w))
     return numbered.join(F.broadcast(before), "__part").withColumn(name, F.lit(start) + F.col("__before") + F.col("__n")).drop("__part", "__n", "__before")  # at most `ranges` rows
 
 
-def upsert_ignore(stored: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
-    """The stored row wins."""
-    return stored.unionByName(rows.join(stored.select(*keys), keys, "left_anti"))
+def _one_of_batch(rows: DataFrame, keys: list[str], seq: str | None, last: bool) -> DataFrame:
+    """The first or last row of each key in the order of column `seq`, without it; of equal places the least by value."""
+    values = [c for c, kind in rows.dtypes if c != seq and "map<" not in kind and "variant" not in kind]
+    place = [] if seq is None else [F.col(seq).desc() if last else F.col(seq)]
+    w = Window.partitionBy(*keys).orderBy(*place, *values)
+    one = rows.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+    return one if seq is None else one.drop(seq)
+
+
+def upsert_ignore(stored: DataFrame, rows: DataFrame, keys: list[str], seq: str | None = None) -> DataFrame:
+    """The stored row wins, else the first of the batch in the order of `seq`, which isn't stored. Null keys are new."""
+    return stored.unionByName(_one_of_batch(rows, keys, seq, last=False).join(stored.select(*keys), keys, "left_anti"))
 
 
-def upsert_replace(stored: DataFrame, rows: DataFrame, key: str) -> DataFrame:
-    """A new row replaces the whole stored row; columns that it lacks become null."""
-    both = stored.withColumn("__batch", F.lit(0)).unionByName(rows.withColumn("__batch", F.lit(1)), allowMissingColumns=True)
-    w = Window.partitionBy(key).orderBy(F.col("__batch").desc())
-    return both.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n", "__batch")
+def upsert_replace(stored: DataFrame, rows: DataFrame, key: str, seq: str | None = None) -> DataFrame:
+    """The last new row of a key replaces the whole stored row; columns that it lacks become null."""
+    new = _one_of_batch(rows, [key], seq, last=True)
+    return stored.join(new.select(key), key, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
-def update_by_key(stored: DataFrame, changes: DataFrame, key: str) -> DataFrame:
-    """Stored rows with the changed columns of rows of the same key; null changes nothing."""
-    names = [c for c in changes.columns if c != key]
-    out = stored.join(changes.select(key, *[F.col(c).alias(f"__{c}") for c in names]), key, "left")
-    return out.select(*[F.coalesce(f"__{c}", c).alias(c) if c in names else F.col(c) for c in stored.columns])
+def update_by_key(stored: DataFrame, changes: DataFrame, key: str, seq: str | None = None) -> DataFrame:
+    """Stored rows with the columns of the last change of their key, nulls included; other rows are as they were.
+
+    Columns that aren't stored yet are added, null without a change.
+    """
+    own = _one_of_batch(changes, [key], seq, last=True)
+    names = [c for c in own.columns if c != key]
+    out = stored.join(own.select(key, F.lit(True).alias("__matched"), *[F.col(c).alias(f"__{c}") for c in names]), key, "left")
+    new = {c: F.when(F.col("__matched"), F.col(f"__{c}")).otherwise(F.col(c)) if c in stored.columns else F.col(f"__{c}") for c in names}
+    return out.select(*[new.pop(c).alias(c) if c in new else F.col(c) for c in stored.columns], *[v.alias(c) for c, v in new.items()])
 
 
 def summary(reviews: DataFrame, runs: DataFrame, apps: DataFrame, last: int = 10) -> dict[str, DataFrame]:

@@ -6,12 +6,13 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gristmill import lexicons
 from gristmill.functions.numeric import share
 from gristmill.functions.text import any_of, count_class, has_letter, py_strip, sentence_count, tokens
+from gristmill.operators.ingest import with_ids
 
 FEATURES = (
     "f_text_len f_word_count f_avg_word_len f_char_per_word f_alpha_ratio f_digit_ratio f_upper_ratio f_punct_ratio "
@@ -122,9 +123,16 @@ def importance(model: PipelineModel, n: int = 8) -> list[tuple[str, float]]:
 
 
 def with_folds(labelled: DataFrame, folds: int = 5, label: str = "low_quality_label", key: str = "review_id") -> DataFrame:
-    """Contiguous folds within each class, in key order."""
-    w = Window.partitionBy(label).orderBy(key)
-    return labelled.withColumn("fold", F.ntile(folds).over(w) - 1)
+    """Contiguous folds of equal size within each class, in key order; the first ones have a row more.
+
+    Rows are numbered in (class, key) order over ranges, and each class starts at its least number: no class is one task.
+    """
+    rows = with_ids(labelled, [label, key], name="__row")
+    ends = rows.groupBy(F.col(label).alias("__class")).agg(F.min("__row").alias("__first"), F.count(F.lit(1)).alias("__size"))
+    rows = rows.join(F.broadcast(ends), F.col(label).eqNullSafe(F.col("__class")))  # a row for each class
+    i, size, more = F.col("__row") - F.col("__first"), F.floor(F.col("__size") / folds), F.col("__size") % folds
+    fold = F.when(i < more * (size + 1), F.floor(i / (size + 1))).otherwise(more + F.floor((i - more * (size + 1)) / F.greatest(size, F.lit(1))))
+    return rows.withColumn("fold", fold.cast("int")).drop("__row", "__class", "__first", "__size")
 
 
 def cross_validate(featured: DataFrame, folds: int = 5, label: str = "low_quality_label") -> list[float]:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.functions.text import preview
+from gristmill.operators.ingest import update_by_key
 
 AMBIGUOUS = "ambiguous"
 
@@ -47,12 +48,8 @@ def in_order(rows: DataFrame) -> DataFrame:
 
 
 def write_back(features: DataFrame, votes: DataFrame) -> DataFrame:
-    """Vote columns of the rows voted on; others keep theirs."""
-    v = votes.select("review_id", *[F.col(c).alias(f"__{c}") for c in ("final_label", "label_confidence", "label_source")])
-    out = features.join(v, "review_id", "left")
-    for c in ("final_label", "label_confidence", "label_source"):
-        out = out.withColumn(c, F.coalesce(f"__{c}", c) if c in features.columns else F.col(f"__{c}"))
-    return out.drop("__final_label", "__label_confidence", "__label_source")
+    """Vote columns of the rows voted on, nulls included; others keep theirs."""
+    return update_by_key(features, votes.select("review_id", "final_label", "label_confidence", "label_source"), "review_id")
 
 
 def summary(votes: DataFrame) -> DataFrame:

@@ -21,21 +21,36 @@ LEAST_CHARS = 10
 
 
 def ingest_stage(spark: SparkSession, root: str, raw: DataFrame, started_at: str, completed_at: str, lang: str = "en", country: str = "us") -> None:
-    """Add a raw batch of all apps and a run for each app."""
+    """Add a raw batch of all apps and a run for each app.
+
+    Runs are stored as in_progress first and finished once the reviews are; if that fails they end as failed, so that a
+    retry adds runs of its own and no second success.
+    """
     apps = tables.scan(spark, root, "apps")
     stored = tables.scan_optional(spark, root, "reviews", schemas.REVIEWS)
     past = tables.scan_optional(spark, root, "ingestion_runs", schemas.RUNS)
     batch = ingest.coerce(raw, lang, country, completed_at)
     counts = ingest.ingest_counts(batch, stored, apps)
     last_run = past.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-    new_runs = ingest.with_ids(ingest.finished_runs(apps, counts, started_at, completed_at), ["app_id"], start=last_run, ranges=4)
-    new_runs = new_runs.select(*[F.col(f.name).cast(f.dataType) for f in schemas.RUNS])
-    tables.append_table(new_runs, root, "ingestion_runs")
-    own_run = tables.scan(spark, root, "ingestion_runs").where(F.col("id") > last_run).select("app_id", F.col("id").alias("__run"))
-    rows = ingest.new_reviews(batch, stored, apps).drop("ingestion_run_id").join(own_run, "app_id", "left").withColumnRenamed("__run", "ingestion_run_id")
-    last = stored.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-    rows = ingest.with_ids(rows.drop("seq"), ["app_id", "review_id"], start=last)
-    tables.append_table(rows.select(*[F.col(f.name).cast(f.dataType) for f in schemas.REVIEWS]), root, "reviews")
+    done = ingest.with_ids(ingest.finished_runs(apps, counts, started_at, completed_at), ["app_id"], start=last_run, ranges=4)
+    done = done.select(*[F.col(f.name).cast(f.dataType) for f in schemas.RUNS])
+    begun = done.withColumns({"status": F.lit("in_progress"), "completed_at": F.lit(None).cast("timestamp_ntz"), "reviews_collected": F.lit(0)})
+    done = ingest.settled(done)
+    done.count()  # the counts of this batch, before its reviews are stored
+    tables.append_table(begun.select(*[F.col(f.name).cast(f.dataType) for f in schemas.RUNS]), root, "ingestion_runs")
+    own = F.col("id") > last_run
+    finish = done.select("id", "completed_at", "reviews_collected", "status")
+    try:
+        own_run = tables.scan(spark, root, "ingestion_runs").where(own).select("app_id", F.col("id").alias("__run"))
+        rows = ingest.new_reviews(batch, stored, apps).drop("ingestion_run_id").join(own_run, "app_id", "left").withColumnRenamed("__run", "ingestion_run_id")
+        last = stored.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+        rows = ingest.with_ids(rows.drop("seq"), ["app_id", "review_id"], start=last)
+        tables.append_table(rows.select(*[F.col(f.name).cast(f.dataType) for f in schemas.REVIEWS]), root, "reviews")
+    except Exception:
+        finish = finish.withColumns({"status": F.lit("failed"), "reviews_collected": F.lit(0)})
+        raise
+    finally:
+        tables.replace_table(ingest.update_by_key(tables.scan(spark, root, "ingestion_runs"), finish, "id"), root, "ingestion_runs")
 
 
 def features_of(reviews: DataFrame, apps: DataFrame, processed_at: str) -> DataFrame:

@@ -178,10 +178,15 @@ def _(spark, d):
     return vote.ambiguous_samples(_votes(spark, d), _labelled(spark, d))
 
 
-@_query("s10_vote_write_back", with_(VOTES) + "SELECT l.review_id, final_label, label_confidence FROM labelled l LEFT JOIN votes v ON l.review_id = v.review_id")
+@_query(
+    "s10_vote_write_back",
+    with_(VOTES) + """SELECT l.review_id, CASE WHEN v.review_id IS NULL THEN 'old' ELSE v.final_label END AS final_label, CASE WHEN v.review_id IS NULL THEN CAST(0.5 AS DOUBLE) WHEN v.rating = 3 THEN NULL ELSE v.label_confidence END AS label_confidence,
+  CASE WHEN v.review_id IS NOT NULL THEN CASE WHEN v.final_label = 'ambiguous' THEN 'none' ELSE v.final_label END END AS label_source FROM labelled l LEFT JOIN votes v ON l.review_id = v.review_id""",
+)
 def _(spark, d):
-    rows = _labelled(spark, d)
-    return vote.write_back(rows.select("review_id"), vote.settle(rows, F.lit("positive"), F.lit(0.9))).select("review_id", "final_label", "label_confidence")
+    stored = _labelled(spark, d).select("review_id", F.lit("old").alias("final_label"), F.lit(0.5).alias("label_confidence"))
+    votes = _votes(spark, d).withColumn("label_confidence", F.when(F.col("rating") != 3, F.col("label_confidence")))
+    return vote.write_back(stored, votes)
 
 
 @_query(
@@ -379,7 +384,7 @@ def _(spark, d):
     return quality.duplicate_members(views.table(spark, d, "documents").select("doc_id", "lang", "text"), ("lang", "text")).select("doc_id", "lang")
 
 
-@_query("a10_short_texts", "WITH t AS (SELECT count(*) AS n, count(*) FILTER (WHERE length(text) < 10) AS n_under_10, count(*) FILTER (WHERE length(text) < 20) AS n_under_20 FROM documents) SELECT *, CAST(n_under_10 AS DOUBLE) / n AS rate_under_10, CAST(n_under_20 AS DOUBLE) / n AS rate_under_20, CAST(n_under_10 AS DOUBLE) / n > CAST(0.3 AS DOUBLE) AS alert FROM t")
+@_query("a10_short_texts", "WITH t AS (SELECT count(*) AS n, count(*) FILTER (WHERE length(text) < 10) AS n_under_10, count(*) FILTER (WHERE length(text) < 20) AS n_under_20 FROM documents) SELECT *, CAST(n_under_10 AS DOUBLE) / n AS rate_under_10, CAST(n_under_20 AS DOUBLE) / n AS rate_under_20, CAST(n_under_20 AS DOUBLE) / n > CAST(0.3 AS DOUBLE) AS alert FROM t")
 def _(spark, d):
     return health.short_texts(views.table(spark, d, "documents"))
 
@@ -393,19 +398,47 @@ def _(spark, d):
     return health.missing_fields(rows, ["text", "quality", "toxic"])
 
 
-@_query("v27_health_report")
-def _(spark, d):
-    return health.report(views.named_reviews(spark, d), views.runs(spark, d), views.apps(spark, d))
+_REPORT = with_(NAMED, RUNS) + """, r AS (SELECT *, CASE WHEN length(text) % 3 = 0 THEN lang END AS app_version, CASE WHEN rating > 4 THEN NULL ELSE 'thanks' END AS reply FROM named),
+g AS (SELECT app_id, any_value(app_name) AS app_name, text, count(*) AS n FROM r WHERE text IS NOT NULL GROUP BY app_id, text HAVING count(*) > 1),
+first_starts AS (SELECT app_id, min(started_at) AS started_at FROM runs GROUP BY app_id),
+f AS (SELECT *, NOT EXISTS (SELECT 1 FROM first_starts e WHERE e.app_id = runs.app_id AND e.started_at < runs.started_at) AS is_first FROM runs),
+l AS (SELECT f.*, app_name, row_number() OVER (ORDER BY started_at DESC, id DESC) AS place FROM f JOIN apps USING (app_id) QUALIFY place <= 10),
+t AS (SELECT (SELECT count(*) FROM r) AS n_reviews, (SELECT count(*) FROM apps) AS n_apps, (SELECT count(*) FROM runs) AS n_runs, (SELECT count(*) FROM runs WHERE status = 'success') AS n_success,
+  (SELECT count(*) FROM runs WHERE status = 'failed') AS n_failed, (SELECT min(date) FROM r) AS d0, (SELECT max(date) FROM r) AS d1,
+  (SELECT count(*) FROM r WHERE app_version IS NULL) AS no_version, (SELECT count(*) FROM r WHERE reply IS NULL) AS no_reply,
+  (SELECT count(*) FROM r WHERE length(text) < 10) AS s10, (SELECT count(*) FROM r WHERE length(text) < 20) AS s20,
+  (SELECT count(*) FROM g) AS n_groups, (SELECT CAST(coalesce(sum(n), 0) AS BIGINT) FROM g) AS n_members),
+low AS (SELECT app_name || ': ' || reviews_collected || ' reviews in its first run' AS detail FROM l WHERE is_first AND status = 'success' AND reviews_collected < 100),
+al AS (SELECT 1 AS place, 'failure_rate' AS metric, n_failed || ' of ' || n_runs || ' runs failed' AS detail FROM t WHERE CAST(n_failed AS DOUBLE) / n_runs > CAST(0.2 AS DOUBLE)
+  UNION ALL SELECT 2, 'short_texts', s20 || ' of ' || n_reviews || ' texts are under 20 characters' FROM t WHERE CAST(s20 AS DOUBLE) / n_reviews > CAST(0.3 AS DOUBLE)
+  UNION ALL SELECT 3, 'duplicates', n_members || ' of ' || n_reviews || ' texts are repeated' FROM t WHERE CAST(n_members AS DOUBLE) / n_reviews > CAST(0.25 AS DOUBLE)
+  UNION ALL SELECT 4, 'low_volume', detail FROM low)
+"""
 
 
 @_query(
-    "v27_alerts",
-    with_(NAMED, RUNS) + """, g AS (SELECT app_id, text, count(*) AS n FROM named GROUP BY app_id, text), f AS (SELECT *, rank() OVER (PARTITION BY app_id ORDER BY started_at) AS k FROM runs)
-SELECT 'failure_rate' AS alert, count(*) FILTER (WHERE status = 'failed') || ' of ' || count(*) || ' runs failed' AS detail FROM runs HAVING count(*) FILTER (WHERE status = 'failed') > CAST(0.2 AS DOUBLE) * count(*)
-UNION ALL SELECT 'short_texts', count(*) FILTER (WHERE length(text) < 10) || ' of ' || count(*) || ' texts are short' FROM named HAVING count(*) FILTER (WHERE length(text) < 10) > CAST(0.3 AS DOUBLE) * count(*)
-UNION ALL SELECT 'duplicates', sum(n) FILTER (WHERE text IS NOT NULL AND n > 1) || ' of ' || sum(n) || ' texts are repeated' FROM g HAVING coalesce(sum(n) FILTER (WHERE text IS NOT NULL AND n > 1), 0) > CAST(0.25 AS DOUBLE) * sum(n)
-UNION ALL SELECT 'low_volume', app_name || ': ' || reviews_collected || ' reviews in its first run' FROM f JOIN apps USING (app_id) WHERE k = 1 AND status = 'success' AND reviews_collected < 100""",
+    "v27_health_report",
+    _REPORT + """, q AS (SELECT unnest(['missing_app_version', 'missing_reply', 'n_under_10', 'n_under_20', 'duplicate_members']) AS metric, unnest([no_version, no_reply, s10, s20, n_members]) AS v, unnest([0, 1, 2, 3, 4]) AS i, n_reviews FROM t)
+SELECT section, CAST(place AS INTEGER) AS place, metric, CAST(value AS DOUBLE) AS value, detail FROM (
+SELECT 'overview' AS section, unnest([1, 2, 3, 4, 5, 6]) AS place, unnest(['n_reviews', 'n_apps', 'n_runs', 'n_success', 'n_failed', 'failure_rate']) AS metric,
+  unnest([CAST(n_reviews AS DOUBLE), n_apps, n_runs, n_success, n_failed, CAST(n_failed AS DOUBLE) / n_runs]) AS value, CAST(NULL AS VARCHAR) AS detail FROM t
+UNION ALL SELECT 'overview', unnest([7, 8]), unnest(['first_date', 'last_date']), NULL, unnest([strftime(d0, '%Y-%m-%d %H:%M:%S'), strftime(d1, '%Y-%m-%d %H:%M:%S')]) FROM t
+UNION ALL SELECT 'runs', place, app_name, reviews_collected, CASE status WHEN 'success' THEN '[ok]' WHEN 'failed' THEN '[failed]' ELSE '[running]' END || ' ' || strftime(started_at, '%Y-%m-%d %H:%M') FROM l
+UNION ALL SELECT 'apps', row_number() OVER (ORDER BY count(*) DESC, app_name), app_name, count(*), NULL FROM r GROUP BY app_name
+UNION ALL SELECT 'quality', 2 * i + 1, metric, v, NULL FROM q UNION ALL SELECT 'quality', 2 * i + 2, metric || '_rate', CAST(v AS DOUBLE) / n_reviews, NULL FROM q
+UNION ALL SELECT 'quality', 11, 'duplicate_groups', n_groups, NULL FROM t
+UNION ALL SELECT 'repeated', row_number() OVER (ORDER BY n DESC, app_name, p), app_name, n, p FROM (SELECT app_name, n, replace(substr(text, 1, 40), chr(10), ' ') AS p FROM g ORDER BY n DESC, app_name, text LIMIT 5)
+UNION ALL SELECT 'ratings', row_number() OVER (ORDER BY rating), 'stars_' || rating, count(*), CAST(round_even(CAST(100 * count(*) AS DOUBLE) / sum(count(*)) OVER (), 1) AS VARCHAR) || '%' FROM r GROUP BY rating
+UNION ALL SELECT 'alerts', place, metric, NULL, detail FROM al
+UNION ALL SELECT 'verdict', 1, CASE WHEN count(*) > 0 THEN 'WARNING' ELSE 'HEALTHY' END, count(*), NULL FROM al)""",
 )
+def _(spark, d):
+    rows = views.named_reviews(spark, d)
+    rows = rows.withColumns({"app_version": F.when(F.length("text") % 3 == 0, F.col("lang")), "reply": F.when(F.col("rating") <= 4, "thanks")})
+    return health.report(rows, views.runs(spark, d), views.apps(spark, d))
+
+
+@_query("v27_alerts", _REPORT + "SELECT metric AS alert, detail FROM al")
 def _(spark, d):
     return health.alerts(views.named_reviews(spark, d), views.runs(spark, d), views.apps(spark, d))
 
@@ -463,7 +496,11 @@ def _(spark, d):
     return parts["per_app"].join(F.broadcast(parts["total"].withColumnRenamed("n", "total")))  # one row
 
 
-_CUST = "c AS (SELECT c_custkey AS key, c_name AS name, c_acctbal AS balance, c_mktsegment AS segment FROM customer), s AS (SELECT s_suppkey AS key, s_name AS name, s_acctbal AS balance FROM supplier)"
+#: Stored rows and a batch of changes in which keys repeat, some new, some values null; seq is the place in the batch.
+_UPSERT = """stored AS (SELECT s_suppkey AS key, s_name AS name, s_acctbal AS balance, CAST(s_nationkey AS VARCHAR) AS segment FROM supplier),
+batch AS (SELECT c_custkey % 150 AS key, c_name AS name, CASE WHEN c_custkey % 3 > 0 THEN c_acctbal END AS balance, c_custkey AS seq FROM customer),
+newest AS (SELECT * EXCLUDE (seq) FROM batch b WHERE NOT EXISTS (SELECT 1 FROM batch o WHERE o.key = b.key AND o.seq > b.seq)),
+oldest AS (SELECT * EXCLUDE (seq) FROM batch b WHERE NOT EXISTS (SELECT 1 FROM batch o WHERE o.key = b.key AND o.seq < b.seq))"""
 
 
 def _customers(spark, d):
@@ -471,29 +508,34 @@ def _customers(spark, d):
 
 
 def _suppliers(spark, d):
-    return views.table(spark, d, "supplier").select(F.col("s_suppkey").alias("key"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("balance"))
+    return views.table(spark, d, "supplier").select(F.col("s_suppkey").alias("key"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("balance"), F.col("s_nationkey").cast("string").alias("segment"))
+
+
+def _changes(spark, d):
+    balance = F.when(F.col("c_custkey") % 3 > 0, F.col("c_acctbal"))
+    return views.table(spark, d, "customer").select((F.col("c_custkey") % 150).alias("key"), F.col("c_name").alias("name"), balance.alias("balance"), F.col("c_custkey").alias("seq"))
 
 
-@_query("s8_upsert_replace", with_(_CUST) + "SELECT key, name, balance, CAST(NULL AS VARCHAR) AS segment FROM s UNION ALL SELECT * FROM c WHERE key NOT IN (SELECT key FROM s)")
+@_query("s8_upsert_replace", with_(_UPSERT) + "SELECT *, CAST(NULL AS VARCHAR) AS segment FROM newest UNION ALL SELECT * FROM stored WHERE key NOT IN (SELECT key FROM batch)")
 def _(spark, d):
-    return ingest.upsert_replace(_customers(spark, d), _suppliers(spark, d), "key")
+    return ingest.upsert_replace(_suppliers(spark, d), _changes(spark, d), "key", "seq")
 
 
-@_query("s9_upsert_ignore", with_(_CUST) + "SELECT * FROM s UNION ALL SELECT key, name, balance FROM c WHERE key NOT IN (SELECT key FROM s)")
+@_query("s9_upsert_ignore", with_(_UPSERT) + "SELECT key, name, balance FROM stored UNION ALL SELECT * FROM oldest WHERE key NOT IN (SELECT key FROM stored)")
 def _(spark, d):
-    return ingest.upsert_ignore(_suppliers(spark, d), _customers(spark, d).drop("segment"), ["key"])
+    return ingest.upsert_ignore(_suppliers(spark, d).drop("segment"), _changes(spark, d), ["key"], "seq")
 
 
-@_query("s10_update_by_key", with_(_CUST) + "SELECT c.key, c.name, coalesce(s.balance, c.balance) AS balance, segment FROM c LEFT JOIN s ON c.key = s.key")
+@_query("s10_update_by_key", with_(_UPSERT) + "SELECT s.key, s.name, CASE WHEN n.key IS NULL THEN s.balance ELSE n.balance END AS balance, segment FROM stored s LEFT JOIN newest n ON s.key = n.key")
 def _(spark, d):
-    return ingest.update_by_key(_customers(spark, d), _suppliers(spark, d).drop("name"), "key")
+    return ingest.update_by_key(_suppliers(spark, d), _changes(spark, d).drop("name"), "key", "seq")
 
 
 @_query("s12_schema_evolution", "SELECT s_suppkey AS key, s_name AS name, CAST(NULL AS VARCHAR) AS final_label, CAST(NULL AS DOUBLE) AS label_confidence, CAST(NULL AS VARCHAR) AS label_source FROM supplier")
 def _(spark, d):
     from gristmill.schemas import VOTE_COLUMNS, add_missing_columns
 
-    return add_missing_columns(_suppliers(spark, d).drop("balance"), VOTE_COLUMNS)
+    return add_missing_columns(_suppliers(spark, d).select("key", "name"), VOTE_COLUMNS)
 
 
 @_query("s7_vector_preview", "SELECT vec_id, array_to_string(list_transform(embedding[1:5], lambda v: printf('%.4f', CAST(v AS DOUBLE))), ', ') || '...' AS embedding FROM embeddings")

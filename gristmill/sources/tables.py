@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import logging
+from collections.abc import Callable
+
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -9,6 +14,8 @@ from pyspark.sql import types as T
 
 from gristmill import schemas
 
+log = logging.getLogger(__name__)
+
 
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a path exists in its own file system, which may be one that only Spark reads."""
@@ -38,8 +45,25 @@ def scan_jdbc(spark: SparkSession, url: str, query: str, partition: tuple[str, i
 
 
 def choose(spark: SparkSession, root: str, name: str, url: str | None = None, **options: str) -> DataFrame:
-    """The remote table if a url is configured, else the stored one. (S3)"""
-    return scan_jdbc(spark, url, f"SELECT * FROM {name}", **options) if url else scan(spark, root, name)
+    """The remote table if a url is configured and its database answers, else the stored one. (S3)"""
+    if url:
+        try:
+            return scan_jdbc(spark, url, f"SELECT * FROM {name}", **options)
+        except (PySparkException, Py4JJavaError) as why:
+            log.warning("no table %s at the configured database, reading the stored one: %s", name, str(why).split("\n")[0])
+    return scan(spark, root, name)
+
+
+def read_or_empty(spark: SparkSession, read: Callable[[], DataFrame], schema: T.StructType) -> DataFrame:
+    """What `read` gives; an empty table with the schema if it fails for any reason, with a warning.
+
+    Spark reads when rows are asked for, so only errors of planning are seen here: missing tables, columns, databases.
+    """
+    try:
+        return read()
+    except (PySparkException, Py4JJavaError, OSError) as why:
+        log.warning("read as empty: %s", str(why).split("\n")[0])
+        return schemas.empty(spark, schema)
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

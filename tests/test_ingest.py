@@ -41,6 +41,11 @@ def test_upserts(spark):
     assert sorted(map(tuple, ingest.upsert_replace(stored, rows, "k").collect())) == [(1, "a", "x"), (2, "B", None), (3, "C", None)]
     assert sorted(map(tuple, ingest.upsert_ignore(stored.drop("extra"), rows, ["k"]).collect())) == [(1, "a"), (2, "b"), (3, "C")]
     assert sorted(map(tuple, ingest.update_by_key(stored, rows, "k").collect())) == [(1, "a", "x"), (2, "B", "y")]
+    again = spark.createDataFrame([(2, "B", 2), (2, None, 3), (2, "first", 1), (3, "C", 5), (3, "D", 4), (3, "E", 6)], "k int, v string, seq int")
+    assert sorted(map(tuple, ingest.upsert_replace(stored, again, "k", "seq").collect())) == [(1, "a", "x"), (2, None, None), (3, "E", None)]
+    assert sorted(map(tuple, ingest.upsert_ignore(stored.drop("extra"), again, ["k"], "seq").collect())) == [(1, "a"), (2, "b"), (3, "D")]
+    assert sorted(map(tuple, ingest.update_by_key(stored, again, "k", "seq").collect())) == [(1, "a", "x"), (2, None, "y")]
+    assert sorted(map(tuple, ingest.update_by_key(stored.drop("extra"), again.withColumnRenamed("v", "w"), "k", "seq").collect())) == [(1, "a", None), (2, "b", None)]
     ids = ingest.with_ids(stored.union(stored), ["v"], start=10, ranges=3).select("id").collect()
     assert sorted(r.id for r in ids) == [11, 12, 13, 14]
 
@@ -110,6 +115,32 @@ def _apps(spark, root):
     rows.write.parquet(f"{root}/apps.parquet")
 
 
+def test_a_failed_ingest_leaves_failed_runs(spark, tmp_path, monkeypatch):
+    root = str(tmp_path)
+    _apps(spark, root)
+    batch = raw(spark, [("a", f"r{i}", 1 + i % 5, "some text that is long enough") for i in range(6)])
+    write, calls = tables.append_table, []
+
+    def fail_once(df, where, name):
+        calls.append(name)
+        if calls.count("reviews") == 1 and name == "reviews":
+            raise OSError("disk")
+        write(df, where, name)
+
+    monkeypatch.setattr(tables, "append_table", fail_once)
+    pipeline.retried(pipeline.ingest_stage, spark, root, batch, "2024-01-01 00:00:00", "2024-01-01 01:00:00", retries=1, pause_s=0)
+    runs = tables.scan(spark, root, "ingestion_runs").where("app_id = 'a'").orderBy("id").collect()
+    assert [(r.status, r.reviews_collected) for r in runs] == [("failed", 0), ("success", 6)]
+    reviews = tables.scan(spark, root, "reviews")
+    assert reviews.count() == 6 and {r.ingestion_run_id for r in reviews.collect()} == {runs[1].id}
+
+
+def test_short_text_alert_is_about_20_characters(spark):
+    texts = ["x" * 15] * 4 + ["x" * 30] * 6
+    r = health.short_texts(spark.createDataFrame([(t,) for t in texts], "text string")).first()
+    assert (r.n_under_10, r.n_under_20, r.alert) == (0, 4, True)
+
+
 def test_daily_pipeline_is_idempotent(spark, tmp_path):
     root = str(tmp_path)
     _apps(spark, root)

@@ -40,10 +40,24 @@ def test_models_are_stored(spark, tmp_path):
     assert pick(model) == pick(again)
 
 
-def test_cache(spark):
-    df = dashboard.cached(spark.range(3))
-    assert df.count() == 3 and df.storageLevel.useMemory
-    df.unpersist()
+def test_cache_has_a_lifetime(spark):
+    now, made = [0.0], []
+    get = dashboard.Cached(lambda: made.append(1) or spark.range(3), clock=lambda: now[0])
+    first = get()
+    assert first.count() == 3 and first.storageLevel.useMemory and get() is first
+    now[0] = 299.0
+    assert get() is first and len(made) == 1
+    now[0] = 300.0
+    assert get() is not first and len(made) == 2
+    get.clear()
+
+
+def test_other_database_that_does_not_answer(spark, tmp_path):
+    spark.range(4).write.parquet(f"{tmp_path}/things.parquet")
+    assert tables.choose(spark, str(tmp_path), "things", "jdbc:derby:memory:nowhere", driver=DRIVER).count() == 4
+    schema = spark.range(1).schema
+    assert tables.read_or_empty(spark, lambda: spark.read.parquet(f"{tmp_path}/absent.parquet"), schema).count() == 0
+    assert tables.read_or_empty(spark, lambda: spark.read.parquet(f"{tmp_path}/things.parquet").select("nothing"), schema).schema == schema
 
 
 def test_the_library_does_not_import_llm():
