@@ -5,7 +5,8 @@ The fit uses at most SAMPLE_ROWS labelled rows (a documented bound) outside the
 its whole text in one pass without a shuffle. Labels, lang, source and doc_id are never inputs.
 
 Defined results: null and empty texts are scored from statistics of zero; without labelled rows every score is 0.5, with
-one class only its smoothed rate; repeated rows give repeated results; a null doc_id is scored and not held out.
+one class only its smoothed rate; repeated rows give repeated results; a null doc_id is scored and not held out;
+an empty table gives no rows; other columns, also of the result's names, are ignored by the query.
 `keep_good` keeps rows when there is no model, and keeps all columns of its input.
 """
 

@@ -9,7 +9,7 @@ too many is split further, whatever its depth) deal the work over tasks: a finge
 visitor of each later leaf whose pattern it meets within the limit, at most C(64, <=2) and for a prefix of p bits
 C(p, <=2) / 2 of them, so the work grows with the number of fingerprints even where a third of them lie in one small
 ball. Tasks hold the members of one leaf, stream visitors past them and give a forest of links, not all pairs;
-components follow from it. Prefix counts (bounded, see MAX_LEAVES) come to the driver, fingerprints never do.
+components follow from it. Counts of prefixes come to the driver (some 16 for each leaf), fingerprints never do.
 
 Defined results: null and empty texts and texts without words have fingerprint zero and are linked like any other;
 rows with a null doc_id have a fingerprint and a null component and link nothing; repeated rows of one doc_id share
@@ -33,9 +33,11 @@ from gristmill.llm._xxh64 import hash_slices
 
 SHINGLE = 3
 MAX_BITS = 2
-#: Members of a leaf of the distributed index that call for a split, and the bound of split prefixes at once.
+#: Members of a leaf of the distributed index that call for a split. Leaves grow once there are MAX_LEAVES of them, up to
+#: MOST_ROWS members; beyond that their number follows the fingerprints, so that a task's index has a bound.
 LEAF_ROWS = 65_536
 MAX_LEAVES = 1_024
+MOST_ROWS = 1 << 20
 #: Bytes of text that are hashed together.
 CHUNK_BYTES = 2 << 20
 LANES = np.uint64(0x0101010101010101)
@@ -151,7 +153,7 @@ class GrayIndex:
 
 def _cut(codes: DataFrame, n: int, leaf_rows: int, max_leaves: int) -> list[tuple[int, int, int]]:
     """(pattern, bits, members) of the leaves. Counts of prefixes come here: at most 2^10, then 16 for each one split."""
-    cap = max(leaf_rows, -(-n // max_leaves))
+    cap = max(leaf_rows, min(-(-n // max_leaves), MOST_ROWS))
     bits = 4
     while bits < 10 and n > (leaf_rows // 8 << bits):
         bits += 1

@@ -9,7 +9,8 @@ cover all rows. One pass over the texts and no shuffle of them.
 
 Defined results: null and empty texts have statistics of zero and fail the base rules; without labels of both classes
 the list is empty and the base rules alone decide; a null doc_id is scored like any row; repeated rows give repeated
-results; labels without a document, or null, are ignored; other columns are kept by `keep_good` and ignored by the query.
+results; labels without a document, or null, are ignored; other columns, also of the result's names, are kept
+by `keep_good` and ignored by the query; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -169,9 +170,12 @@ def verdicts(docs: DataFrame, rules: list[Rule]) -> DataFrame:
     return rows.select("doc_id", *[s[c].alias(c) for c in BASE], base_failed(s).alias("base_failed"), (~base_failed(s) & decision(rules, s).isNull()).alias("kept"), decision(rules, s).alias("rule"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, **kw) -> DataFrame:
-    """The rows of docs that neither the base rules nor the learned list reject, columns unchanged."""
-    rules = fit_rules(docs, labels, **kw)
+def keep_good(docs: DataFrame, labels: DataFrame, learn_from: DataFrame | None = None, **kw) -> DataFrame:
+    """The rows of docs that neither the base rules nor the learned list reject, columns unchanged.
+
+    The list is learned from the labelled rows of `learn_from`, if docs has lost most of the bad ones.
+    """
+    rules = fit_rules(docs if learn_from is None else learn_from, labels, **kw)
     name = scratch("stats")
     s = F.col(name)
     return docs.withColumn(name, stats("text")).where(~base_failed(s) & decision(rules, s).isNull()).select(*[F.col(c) for c in docs.columns])

@@ -88,3 +88,11 @@ def test_edges(spark):
     assert op.fit_rules(df, labels.limit(0)) == [] and op.fit_rules(df, labels.where("quality = 1")) == []
     assert op.keep_good(df.limit(0), labels).count() == 0
     assert df.select(F.lit(1).alias("doc_id"), "text").transform(lambda d: op.verdicts(d, [])).where("base_failed").count() > 0
+
+
+def test_verdicts_of_repeated_rows_and_clashing_columns(spark):
+    text = "one two three four five six seven eight nine ten eleven"
+    df = spark.createDataFrame([(1, text, 5, "x", True), (1, text, 6, "y", False), (2, None, 7, "z", None)], "doc_id long, text string, n_words int, s string, kept boolean")
+    got = sorted(tuple(r) for r in op.verdicts(df, []).drop("rule").collect())
+    assert len(got) == 3 and got[0] == got[1] and got[0][1] == 11 and got[0][-1] is True and got[2][1] == 0 and got[2][-1] is False
+    assert op.verdicts(df.limit(0), []).count() == 0

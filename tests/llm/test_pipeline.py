@@ -24,7 +24,8 @@ def test_stages(spark, sf_dir):
     one = stage["quality_classifier"](spark, docs, sf).cache()
     assert {r.doc_id for r in one.collect()} == {d for d, p in scores.items() if p} and one.columns == docs.columns
     two = stage["quality_rules"](spark, one, sf).cache()
-    verdicts = op8_rules.verdicts(one, op8_rules.fit_rules(one, labels))
+    verdicts = op8_rules.verdicts(one, op8_rules.fit_rules(docs, labels))
+    assert op8_rules.fit_rules(docs, labels)
     assert {r.doc_id for r in two.collect()} == {r.doc_id for r in verdicts.collect() if r.kept}
     assert all(not (s[0] < 10 or 100 * s[4] > 20 * s[0]) for s in (slow(r.text) for r in two.collect()))
     three = stage["near_dedup"](spark, two, sf).cache()
@@ -62,3 +63,20 @@ def test_edges(spark, tmp_path):
     docs.limit(0).write.parquet(f"{empty}/documents.parquet")
     labels.limit(0).write.parquet(f"{empty}/labels.parquet")
     assert corpus_pipeline.run(spark, str(empty)).collect() == []
+
+
+def test_very_long_texts_and_clashing_columns(spark, tmp_path):
+    """Extra columns with the names of results stay through all stages but the last; long texts are mixed whole."""
+    words = [f"w{i * i % 997}x{i}" for i in range(30_000)]
+    rows = [(i, " ".join(words[i * 7 : i * 7 + 40]), "en", "a", 1, float(i), "f") for i in range(40)] + [(100, " ".join(words), "en", "a", 1, 0.5, "g")]
+    docs = spark.createDataFrame(rows, SCHEMA + ", score double, fp string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    now = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, now, str(tmp_path)).cache()
+        assert now.columns == docs.columns, name
+    kept = {r.doc_id: r for r in now.collect()}
+    assert kept[100].text == " ".join(words) and kept[100].score == 0.5 and kept[100].fp == "g"
+    last = {r.doc_id: r for r in corpus_pipeline.encoding(spark, now, str(tmp_path)).collect()}
+    assert last[100].decoded_sha256 == hashlib.sha256(" ".join(words).encode()).hexdigest()
