@@ -2,6 +2,12 @@
 
 STAGES lists (name, function); each function takes (spark, docs, sf_dir) and returns a DataFrame. All but the last
 return the columns of documents.
+
+Defined results, in all stages: null and empty texts fail the base rules and so end at the second stage; texts of any
+length are judged, compared, mixed and encoded whole; repeated rows count one by one until near_dedup keeps one of them;
+a null doc_id is judged like any other, is kept by near_dedup and is mixed within its source; of ties the least doc_id,
+then a hash of the row decides; an empty table gives no rows at any stage; other columns, whatever their names, are kept
+by all stages but the last, which has its own columns alone.
 """
 
 from __future__ import annotations
@@ -18,8 +24,12 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules or the learned decision list reject go."""
-    return op8_rules.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    """Documents that the base rules or the learned decision list reject go.
+
+    The list is learned from labelled rows of all documents: those that the stage before kept have hardly a bad one.
+    """
+    every = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return op8_rules.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), learn_from=every)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
