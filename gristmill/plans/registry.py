@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill import views
+from gristmill import lexicons, views
 from gristmill.functions import text as text_fns
 from gristmill.functions.numeric import min_max_or_half, rounded
 from gristmill.operators import aspects, dashboard, health, ingest, priority, probes, quality, retrieval, scorers, sentiment, vectors, vote
@@ -801,10 +801,25 @@ def _(spark, d):
     return vectors.coordinates(views.table(spark, d, "embeddings")).select("vec_id", "label", "x", "y")
 
 
-@_query("v28_v29_lexicon_scores")
+def _hits_sql(text: str, place: int) -> str:
+    """Values of a text's words that are in the lexicon, as a list."""
+    known = "MAP {" + ", ".join(f"'{row[0]}': CAST({row[place]} AS DOUBLE)" for row in lexicons.SENTIMENT) + "}"
+    words = rf"list_transform(regexp_extract_all(lower({text}), '\S+'), lambda w: regexp_replace(w, '[^\p{{L}}]', '', 'g'))"
+    return f"list_filter(list_transform({words}, lambda w: {known}[w]), lambda v: v IS NOT NULL)"
+
+
+_MEAN = "round(coalesce(list_sum({0}) / nullif(len({0}), 0), 0) / {1}, 9)"
+
+
+@_query(
+    "v28_v29_lexicon_scores",
+    f"WITH h AS (SELECT doc_id, text, coalesce(list_sum({_hits_sql('substr(text, 1, 150)', 1)}), 0) AS s, {_hits_sql('text', 1)} AS v, {_hits_sql('text', 2)} AS u FROM documents)"
+    f" SELECT doc_id, CASE WHEN text IS NOT NULL THEN round(s / sqrt(s * s + 15), 9) END AS compound, {_MEAN.format('u', 'CAST(1 AS DOUBLE)')} AS subjectivity, {_MEAN.format('v', 'CAST(4 AS DOUBLE)')} AS polarity FROM h",
+)
 def _(spark, d):
     t = F.col("text")
-    return views.table(spark, d, "documents").select("doc_id", scorers.compound(t).alias("compound"), scorers.subjectivity(t).alias("subjectivity"), scorers.polarity(t).alias("polarity"))
+    scores = {"compound": scorers.compound(t), "subjectivity": scorers.subjectivity(t), "polarity": scorers.polarity(t)}
+    return views.table(spark, d, "documents").select("doc_id", *[F.round(x, 9).alias(name) for name, x in scores.items()])
 
 
 @_query("v22_v30_x6_model_labels", r"SELECT doc_id, CASE WHEN regexp_matches(coalesce(text, ''), '\S') THEN 'positive' END AS label, CASE WHEN regexp_matches(coalesce(text, ''), '\S') THEN CAST(0.9 AS DOUBLE) END AS confidence FROM documents")
