@@ -12,6 +12,9 @@ by all stages but the last, which has its own columns alone.
 
 from __future__ import annotations
 
+import warnings
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from gristmill.llm import op2_quality, op3_mixing, op7_simhash, op8_rules, op9_bpe
@@ -27,8 +30,15 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents that the base rules or the learned decision list reject go.
 
     The list is learned from labelled rows of all documents: those that the stage before kept have hardly a bad one.
+    Where sf_dir has no documents (docs came from elsewhere) it is learned from the rows of docs, with a warning.
     """
-    every = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    try:
+        every = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        warnings.warn(f"{sf_dir} has no documents.parquet: rules are learned from the rows given", stacklevel=2)
+        every = docs
     return op8_rules.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), learn_from=every)
 
 

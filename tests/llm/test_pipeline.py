@@ -4,6 +4,8 @@ import hashlib
 from collections import Counter
 
 import corpus_pipeline
+import pytest
+from pyspark.errors import AnalysisException
 from test_op3_mixing import size
 from test_op7_simhash import slow_components, slow_fingerprint
 from test_op8_rules import slow
@@ -80,3 +82,16 @@ def test_very_long_texts_and_clashing_columns(spark, tmp_path):
     assert kept[100].text == " ".join(words) and kept[100].score == 0.5 and kept[100].fp == "g"
     last = {r.doc_id: r for r in corpus_pipeline.encoding(spark, now, str(tmp_path)).collect()}
     assert last[100].decoded_sha256 == hashlib.sha256(" ".join(words).encode()).hexdigest()
+
+
+def test_rules_without_documents_in_the_folder(spark, sf_dir, tmp_path):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    with pytest.warns(UserWarning, match="no documents.parquet"):
+        got = corpus_pipeline.quality_rules(spark, docs, str(tmp_path))
+    want = op8_rules.verdicts(docs, op8_rules.fit_rules(docs, labels))
+    assert {r.doc_id for r in got.collect()} == {r.doc_id for r in want.collect() if r.kept} and got.columns == docs.columns
+    (tmp_path / "documents.parquet").mkdir()
+    with pytest.raises(AnalysisException):  # there, but without data: an error as before
+        corpus_pipeline.quality_rules(spark, docs, str(tmp_path))
