@@ -33,19 +33,32 @@ def duplicate_members(reviews: DataFrame, keys=("app_name", "text")) -> DataFram
     return reviews.join(many, same, "left_semi")
 
 
-def duplicate_keys(reviews: DataFrame) -> DataFrame:
-    """(app_name, folded text) of texts that occur more than once as they are."""
-    many = reviews.groupBy("app_name", "text").count().where("count > 1")
-    return many.select("app_name", F.lower(py_strip(F.col("text"))).alias("folded")).distinct()
+def keyed(reviews: DataFrame) -> DataFrame:
+    """Adds all that weak labels need of a text: __short, and SHA-256 of the text as it is and folded, __whole and __folded."""
+    digest = lambda x: F.unhex(F.sha2(x.cast("binary"), 256))
+    rows = reviews.withColumn("__clean", py_strip(F.col("text")))
+    short = F.col("text").isNull() | (F.length("__clean") < 10) | ~has_letter(F.col("__clean"))
+    return rows.withColumns({"__short": F.coalesce(short, F.lit(True)), "__whole": digest(F.col("text")), "__folded": digest(F.lower("__clean"))}).drop("__clean")
+
+
+def duplicate_keys(rows: DataFrame) -> DataFrame:
+    """(app_name, __folded) of texts that occur more than once as they are, from keyed rows."""
+    texts = rows.groupBy("app_name", "__whole").agg(F.count(F.lit(1)).alias("__c"), F.min("__folded").alias("__folded"))
+    return texts.where("__c > 1").select("app_name", "__folded").distinct()
+
+
+def label_keyed(rows: DataFrame) -> DataFrame:
+    """Adds low_quality_label to keyed rows, which need no text, and drops the keys."""
+    out = rows.join(duplicate_keys(rows).withColumn("__dup", F.lit(True)), ["app_name", "__folded"], "left")
+    return out.withColumn("low_quality_label", (F.col("__short") | F.coalesce("__dup", F.lit(False))).cast("int")).drop("__whole", "__folded", "__short", "__dup")
 
 
 def weak_labels(reviews: DataFrame) -> DataFrame:
-    """Adds low_quality_label: short, a duplicate of its app, or without letters."""
-    clean = py_strip(F.col("text"))
-    rows = reviews.withColumn("folded", F.lower(clean))
-    rows = rows.join(duplicate_keys(reviews).withColumn("__dup", F.lit(True)), ["app_name", "folded"], "left")
-    bad = F.col("text").isNull() | (F.length(clean) < 10) | F.coalesce("__dup", F.lit(False)) | ~has_letter(clean)
-    return rows.withColumn("low_quality_label", F.coalesce(bad, F.lit(True)).cast("int")).drop("folded", "__dup")
+    """Adds low_quality_label: short, a duplicate of its app, or without letters.
+
+    All that reads the text comes before the join, so texts are shuffled only if the caller keeps them.
+    """
+    return label_keyed(keyed(reviews))
 
 
 def with_features(reviews: DataFrame) -> DataFrame:
@@ -54,14 +67,14 @@ def with_features(reviews: DataFrame) -> DataFrame:
     What several features share is a column of its own first, so that it is computed once for each text.
     """
     t = F.coalesce("text", F.lit(""))
-    words, low = F.col("__words"), F.col("__low")
+    words, low = F.col("__words"), F.col("__low")  # words of the folded text: folding changes no white space, so they are as many
     n, chars, alpha, unique = (F.col(c) for c in ("__n", "__chars", "__alpha", "__unique"))
-    parts = reviews.withColumns({"__words": tokens(t), "__low": F.array_distinct(tokens(F.lower(t))), "__chars": F.length(t), "__alpha": count_class(t, r"\p{L}")})
-    parts = parts.withColumns({"__n": F.size(words), "__unique": F.size(low)})
+    parts = reviews.withColumns({"__words": tokens(F.lower(t)), "__chars": F.length(t), "__alpha": count_class(t, r"\p{L}")})
+    parts = parts.withColumns({"__n": F.size(words), "__low": F.array_distinct(words)}).withColumn("__unique", F.size(low))
     votes = F.coalesce("thumbs_up", F.lit(0)).cast("int")
-    letters = F.aggregate(words, F.lit(0), lambda a, w: a + F.length(w))
+    letters = chars - F.length(F.regexp_replace(t, r"\S+", ""))
     one = F.lit(1)
-    seen = chars - count_class(t, r"\p{L}\p{N}") - count_class(t, r"\s\x1c-\x1f")
+    seen = F.length(F.regexp_replace(t, r"(?U)[\p{L}\p{N}\s\x1c-\x1f]+", ""))
     ratio = lambda a, b: a.cast("double") / b.cast("double")
     return parts.withColumns(
         {

@@ -750,9 +750,10 @@ def _(spark, d):
 
 
 def _quality_model(spark, d):
-    """Labels, features, a model of all rows and its predictions."""
+    """Labels, features, a model of all rows and its predictions. Texts are read once, for a table of keys and numbers."""
     rows = views.table(spark, d, "documents").select(F.col("doc_id").alias("review_id"), F.col("lang").alias("app_name"), "text", (F.col("n_chars") % 4).alias("thumbs_up"))
-    featured = quality.with_features(quality.weak_labels(rows)).drop("text")
+    keyed = tables.written_once(quality.keyed(quality.with_features(rows)).drop("text", "thumbs_up"))
+    featured = tables.written_once(quality.label_keyed(keyed).drop("app_name"))
     moments, model = quality.train(featured)
     return quality.predict(featured, moments, model)
 

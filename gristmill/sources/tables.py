@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import logging
+import uuid
 from collections.abc import Callable
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
+from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -107,6 +109,22 @@ def append_table(df: DataFrame, root: str, name: str) -> None:
     df.write.mode("append").parquet(f"{root.rstrip('/')}/{name}.parquet")
 
 
+def written_once(df: DataFrame) -> DataFrame:
+    """The rows computed once, for plans that read them many times.
+
+    A table in the folder of checkpoints, removed when the driver's JVM ends; kept with the session where there is none (tests).
+    """
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        return df.persist(StorageLevel.MEMORY_AND_DISK)
+    path = f"{root.rstrip('/')}/gristmill-once-{uuid.uuid4().hex}"
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def write_text(spark: SparkSession, text: str, path: str) -> None:
     """A small report as one file in any file system."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gristmill import schemas
 from gristmill.operators import health, ingest, quality
-from gristmill.plans import pipeline
+from gristmill.plans import pipeline, registry
 from gristmill.sources import tables
 from gristmill.streaming import ingest as stream
 
@@ -191,3 +191,28 @@ def test_stream_trend(spark, tmp_path):
     q = stream.label_trend(df).writeStream.format("memory").queryName("trend").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted((r.combined_label, r.n) for r in spark.table("trend").collect()) == [("negative", 1), ("positive", 1), ("positive", 1)]
+
+
+def _exchanges(df):
+    return [x for x in df._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange hashpartitioning" in x]
+
+
+def test_weak_labels_do_not_shuffle_texts(spark):
+    rows = [(1, "a", "Great App!!"), (2, "a", "Great App!!"), (3, "a", " great app!!\n"), (4, None, "Great App!!"), (5, None, "Great App!!"), (6, "a", None), (7, "a", None)]
+    df = quality.weak_labels(spark.createDataFrame(rows, "i int, app_name string, text string")).select("i", "low_quality_label")
+    assert _exchanges(df) and not any("text#" in x or "folded#" in x.replace("__folded#", "") for x in _exchanges(df))
+    assert {r.i: r.low_quality_label for r in df.collect()} == {1: 1, 2: 1, 3: 1, 4: 0, 5: 0, 6: 1, 7: 1}
+
+
+def _texts_read_by(spark, sf_dir, folder, name):
+    """What the plan of a query still reads of documents when it comes back, where there is a folder of checkpoints."""
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(f"file://{folder}")
+    df = registry.QUERIES[name](spark, sf_dir)
+    assert df.count() > 0
+    return [f for f in df.inputFiles() if "documents.parquet" in f]
+
+
+def test_quality_scores_read_texts_once(spark, sf_dir, tmp_path):
+    assert _texts_read_by(spark, sf_dir, tmp_path, "v15_v18_t8_quality_scores") == []
