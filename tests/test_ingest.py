@@ -216,3 +216,7 @@ def _texts_read_by(spark, sf_dir, folder, name):
 
 def test_quality_scores_read_texts_once(spark, sf_dir, tmp_path):
     assert _texts_read_by(spark, sf_dir, tmp_path, "v15_v18_t8_quality_scores") == []
+
+
+def test_validation_sample_reads_texts_once(spark, sf_dir, tmp_path):
+    assert _texts_read_by(spark, sf_dir, tmp_path, "t7_u1_validation_sample") == []
